@@ -1,0 +1,96 @@
+"""Runs every query beside its SQL twin and compares rows, types and values.
+
+    python tests/oracle_check.py [sf_dir] [query ...]
+"""
+
+from __future__ import annotations
+
+import math
+import sys
+import time
+from decimal import Decimal
+from pathlib import Path
+
+import duckdb
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return con
+
+
+def _plain(value: object) -> object:
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else round(value, 9) + 0.0
+    if isinstance(value, Decimal):
+        return ("decimal", str(value))
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    return value
+
+
+KINDS = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+    "DATE": "date", "TIMESTAMP": "timestamp",
+}
+
+
+def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> str | None:
+    """None when equal, else what differs."""
+    df = query(spark, sf_dir)
+    columns = sorted(df.columns)
+    got = sorted((tuple(_plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    cursor = con.execute(sql)
+    names = [d[0] for d in cursor.description]
+    if sorted(names) != columns:
+        return f"columns {columns} / {sorted(names)}"
+    kinds = {d[0]: KINDS.get(str(d[1]), str(d[1])) for d in cursor.description}
+    types = dict(df.dtypes)
+    wrong = [(c, types[c], kinds[c]) for c in columns if types[c] != kinds[c]]
+    if wrong:
+        return f"types {wrong}"
+    place = [names.index(c) for c in columns]
+    want = sorted((tuple(_plain(r[i]) for i in place) for r in cursor.fetchall()), key=repr)
+    if got != want:
+        extra, lacking = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+        return f"rows {len(got)} / {len(want)}; only here {extra}; only there {lacking}"
+    return None if got else "no rows at all"
+
+
+if __name__ == "__main__":
+    from pyspark.sql import SparkSession
+
+    import __spark_entry__ as entry
+
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    session = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "8g")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    duck = connect(sf)
+    failed = 0
+    for key, fn in entry.queries().items():
+        if sys.argv[2:] and key not in sys.argv[2:]:
+            continue
+        start = time.time()
+        try:
+            problem = compare(session, duck, key, fn, entry.oracle_sql()[key], sf)
+        except Exception as error:  # report and go on with the next query
+            problem = f"{type(error).__name__}: {str(error)[:600]}"
+        failed += problem is not None
+        print(f"{'ok  ' if problem is None else 'FAIL'} {key} {time.time() - start:.1f}s {problem or ''}", flush=True)
+    print(f"{failed} failed")
+    raise SystemExit(bool(failed))
