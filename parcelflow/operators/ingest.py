@@ -23,7 +23,7 @@ def unframe(value: Column) -> Column:
 
 
 def decode(framed: DataFrame, value_col: str = "value") -> DataFrame:
-    """Framed JSON values to the nine event columns and ``is_decoded``.
+    """Framed JSON values to the nine event columns and ``is_decoded``; other columns are kept.
 
     A value that does not parse, lacks a field or has an unknown event type gives nulls
     and ``is_decoded = false``, so one bad record goes to the dead letters and never
@@ -35,7 +35,15 @@ def decode(framed: DataFrame, value_col: str = "value") -> DataFrame:
         wire,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
-    return framed.select(parsed.alias("e")).select(*_event_columns("e"), _whole("e").alias("is_decoded"))
+    kept = [c for c in framed.columns if c != value_col]
+    whole = framed.select(*kept, parsed.alias("e")).select(*kept, "e", _whole("e").alias("is_decoded"))
+    columns = {name: F.col(f"e.{name}") for name in S.EVENT_COLUMNS}
+    columns["event_ts"] = F.timestamp_millis(columns["event_ts"])
+    return whole.select(
+        *kept,
+        *[F.when(F.col("is_decoded"), column).alias(name) for name, column in columns.items()],
+        "is_decoded",
+    )
 
 
 def _whole(struct: str) -> Column:
@@ -46,16 +54,6 @@ def _whole(struct: str) -> Column:
     return F.coalesce(whole & F.col(f"{struct}.event_type").isin(S.EVENT_TYPES), F.lit(False))
 
 
-def _event_columns(struct: str) -> list[Column]:
-    kept = []
-    for name in S.EVENT_COLUMNS:
-        value = F.col(f"{struct}.{name}")
-        if name == "event_ts":
-            value = F.timestamp_millis(value)
-        kept.append(F.when(_whole(struct), value).alias(name))
-    return kept
-
-
 def to_frames(events: DataFrame, schema_id: int = 1) -> DataFrame:
     """Keyed, framed rows ready for a message sink: ``key`` and ``value`` as binary."""
     wire = [

@@ -69,14 +69,18 @@ def flags(
     return observations.withColumn("weather_bad", bad)
 
 
-def weather_by_hub(flagged: DataFrame, *recency: str) -> DataFrame:
-    """``hub_id, weather_bad`` of the most recent observation of each hub.
+def weather_by_hub(flagged: DataFrame, time_col: str = "fetched_at") -> DataFrame:
+    """``hub_id, weather_bad`` of the most recent observation of each hub; bad wins a tie.
 
-    The maximum runs over fixed-width values only, so it is hash-aggregated and combined
-    before the shuffle: a hub with most of the rows costs no more than the others.
+    Two maxima of timestamps are hash-aggregated and combined before the shuffle, so a hub
+    with most of the rows costs no more than the others.
     """
-    newest = F.max(F.struct(*recency, "weather_bad"))
-    return flagged.groupBy("hub_id").agg(newest.alias("newest")).select("hub_id", "newest.weather_bad")
+    seen, bad = F.col(time_col), F.col("weather_bad")
+    latest = flagged.groupBy("hub_id").agg(
+        F.max(F.when(bad, seen)).alias("last_bad"), F.max(F.when(~bad, seen)).alias("last_good")
+    )
+    verdict = F.coalesce(F.col("last_bad") >= F.col("last_good"), F.col("last_bad").isNotNull())
+    return latest.select("hub_id", verdict.alias("weather_bad"))
 
 
 def snapshot_flags(snapshot: DataFrame) -> DataFrame:

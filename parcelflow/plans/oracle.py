@@ -307,7 +307,7 @@ FROM stg_parcels LEFT JOIN ({_values(S.POSTCODE_REGIONS)}) t(digit, region) ON d
     + "SELECT response_id, hub_id, temperature, wind_speed, precipitation, observed_at FROM observed",
     "weather_flags": _with("observed")
     + """SELECT hub_id, coalesce(wind_speed >= 10, false) OR coalesce(precipitation >= 0.5::DOUBLE, false) AS weather_bad
-FROM observed QUALIFY row_number() OVER (PARTITION BY hub_id ORDER BY fetched_at DESC, response_id DESC) = 1""",
+FROM observed QUALIFY row_number() OVER (PARTITION BY hub_id ORDER BY fetched_at DESC, weather_bad DESC) = 1""",
     "lifecycle_violations": _with("paired")
     + """SELECT parcel_id, version, from_type, event_type AS to_type FROM ordered
 WHERE place > 1 AND NOT EXISTS (SELECT 1 FROM edges WHERE a = from_type AND b = event_type)""",

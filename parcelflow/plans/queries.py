@@ -272,7 +272,7 @@ def weather_parse(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def weather_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Flag of each hub by its most recent observation."""
-    return weather.weather_by_hub(weather.flags(_observations(spark, sf)), "fetched_at", "response_id")
+    return weather.weather_by_hub(weather.flags(_observations(spark, sf)), "fetched_at")
 
 
 # --- lifecycle --------------------------------------------------------------

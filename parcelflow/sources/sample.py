@@ -13,11 +13,13 @@ from parcelflow.functions.sla import promised_by
 from parcelflow.functions.text import iso_timestamp
 from parcelflow.operators.ingest import to_frames
 from parcelflow.session import use_utc
+from parcelflow.sources.files import deal_out
 
 VALIDATION_AS_OF = "2001-06-01 00:00:00"
 LIVE_AS_OF = "2001-07-01 00:00:00"
 LIVE_ACCEL = 0.001
 GOLD_ACCEL = 1.0
+MILLIS_PER_HOUR = 3_600_000
 
 # (hub, wind, precipitation, bad); one hub has no weather.
 HUB_WEATHER = [
@@ -35,8 +37,21 @@ def instant(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
+# Columns the mapping reads. Stating them saves the job that reads a file footer for
+# the schema. A timestamp without a zone is read as the UTC instant it stands for.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_returnflag string, l_linestatus string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp, user_id bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return use_utc(spark).read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -45,15 +60,7 @@ def _pick(values: list[str], index: Column) -> Column:
 
 def parcel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan event per order line. Event ids repeat where a line number repeats."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_partkey",
-        "l_suppkey",
-        "l_linenumber",
-        "l_quantity",
-        "l_returnflag",
-        "l_linestatus",
-    )
+    lines = deal_out(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     line = F.col("l_linenumber")
     flag = F.col("l_returnflag")
@@ -80,7 +87,7 @@ def parcel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             _pick([*S.HUB_IDS, "XXX"], F.col("l_suppkey") % 9).alias("hub_id"),
             (F.lit(50.5) + (F.col("l_partkey") % 330) / F.lit(100.0)).alias("lat"),
             (F.lit(3.3) + (F.col("l_suppkey") % 400) / F.lit(100.0)).alias("lon"),
-            (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(F.lit(0), delay_hours)).alias("event_ts"),
+            F.timestamp_millis(F.unix_millis("o_orderdate") + delay_hours * MILLIS_PER_HOUR).alias("event_ts"),
             line.cast("int").alias("version"),
         )
         .withColumn("status", F.col("event_type"))
@@ -92,19 +99,13 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcel dimension rows; every seventh order has an older second row as well."""
     # The geography tables hold a fixed number of nations and regions; the optimizer
     # broadcasts them, and customers too while they are small.
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     places = (
-        customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+        table(spark, sf_dir, "customer")
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("c_custkey", "r_name")
     )
-    orders = (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-        .filter(F.col("o_orderkey") % 20 != 0)
-    )
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 20 != 0)
     customer = F.col("o_custkey")
     priority = F.col("o_orderpriority")
     level = (
@@ -113,7 +114,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("STANDARD")
     )
     hours = F.when(level == "SAME_DAY", 6).when(level == "NEXT_DAY", 24).otherwise(48)
-    created = F.col("o_orderdate").cast("timestamp")
+    created = F.col("o_orderdate")
     carrier = _pick(["PostNL", "DHL", "DPD", "GLS"], customer % 4)
     current = F.struct(created.alias("created_at"), carrier.alias("carrier"))
     older = F.struct(
@@ -139,7 +140,15 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hub_weather(spark: SparkSession) -> DataFrame:
     """Observations of the sample's hubs: at most one row per hub."""
-    return spark.createDataFrame(HUB_WEATHER, "hub_id string, wind_speed double, precipitation double")
+    rows = [
+        F.struct(
+            F.lit(hub).alias("hub_id"),
+            F.lit(wind).cast("double").alias("wind_speed"),
+            F.lit(rain).cast("double").alias("precipitation"),
+        )
+        for hub, wind, rain in HUB_WEATHER
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 def weather_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,8 +191,8 @@ def weather_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("["), F.array_join(members, ", "), F.lit("]")))
     )
     return (
-        table(spark, sf_dir, "events")
-        .select("event_id", "user_id", F.col("ts").cast("timestamp").alias("fetched_at"))
+        deal_out(table(spark, sf_dir, "events"))
+        .select("event_id", "user_id", F.col("ts").alias("fetched_at"))
         .select(n.alias("response_id"), "fetched_at", body.alias("body"))
     )
 
