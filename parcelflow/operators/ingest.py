@@ -96,7 +96,7 @@ def enrich(events: DataFrame, weather: DataFrame | None) -> DataFrame:
         .groupBy("hub_id")
         .agg(F.bool_or("weather_bad").alias("weather_bad"))
     )
-    return events.join(F.broadcast(flags), "hub_id", "left").select(*events.columns, "weather_bad")
+    return events.join(F.broadcast(flags), "hub_id", "left").selectExpr(*events.columns, "weather_bad")
 
 
 def with_event_date(events: DataFrame) -> DataFrame:

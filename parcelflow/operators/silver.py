@@ -20,7 +20,7 @@ def deduplicate(events: DataFrame, key: str = "event_id") -> DataFrame:
     rest = [c for c in events.columns if c != key and c not in SURVIVOR_ORDER]
     ordered = [c for c in SURVIVOR_ORDER if c in events.columns] + rest
     kept = events.groupBy(key).agg(F.min(F.struct(*ordered)).alias("kept"))
-    return kept.select(*[F.col(key) if c == key else F.col(f"kept.{c}").alias(c) for c in events.columns])
+    return kept.selectExpr(*[key if c == key else f"kept.{c}" for c in events.columns])
 
 
 def to_silver(bronze: DataFrame, distinct_already: bool = False) -> DataFrame:
@@ -28,8 +28,7 @@ def to_silver(bronze: DataFrame, distinct_already: bool = False) -> DataFrame:
 
     ``distinct_already`` skips the deduplication when the caller has just done it.
     """
-    casts = {f.name: F.col(f.name).cast(f.dataType) for f in S.SILVER_SCHEMA if f.name != "event_date"}
-    typed = bronze.select(*[column.alias(name) for name, column in casts.items()])
+    typed = bronze.selectExpr(*S.casts(f for f in S.SILVER_SCHEMA if f.name != "event_date"))
     if not distinct_already:
         typed = deduplicate(typed)
-    return typed.withColumn("event_date", F.to_date("event_ts")).select(*S.SILVER_COLUMNS)
+    return typed.selectExpr(*[c if c != "event_date" else "to_date(event_ts) AS event_date" for c in S.SILVER_COLUMNS])

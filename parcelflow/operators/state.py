@@ -40,7 +40,7 @@ def merge(state: DataFrame, events: DataFrame) -> DataFrame:
     )
     return best.select(
         "parcel_id",
-        *[F.col(f"best.{c}").alias(c) for c in S.STATE_FIELDS],
+        *[f"best.{c}" for c in S.STATE_FIELDS],
         (F.col(f"best.{_STORED}") == 0).alias("changed"),
     )
 

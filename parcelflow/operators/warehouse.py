@@ -21,7 +21,7 @@ FACT_DIMENSION_COLUMNS = [
 
 
 def stg_parcel_events(silver: DataFrame) -> DataFrame:
-    return silver.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.SILVER_SCHEMA])
+    return silver.selectExpr(*S.casts(S.SILVER_SCHEMA))
 
 
 def stg_parcels(raw: DataFrame) -> DataFrame:
@@ -31,11 +31,9 @@ def stg_parcels(raw: DataFrame) -> DataFrame:
     deduplication this is a map-side combined maximum.
     """
     order = ["created_at", *[c for c in S.PARCEL_COLUMNS if c not in ("parcel_id", "created_at")]]
-    typed = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.PARCEL_SCHEMA])
+    typed = raw.selectExpr(*S.casts(S.PARCEL_SCHEMA))
     latest = typed.groupBy("parcel_id").agg(F.max(F.struct(*order)).alias("latest"))
-    return latest.select(
-        *[F.col(c) if c == "parcel_id" else F.col(f"latest.{c}").alias(c) for c in S.PARCEL_COLUMNS]
-    )
+    return latest.selectExpr(*[c if c == "parcel_id" else f"latest.{c}" for c in S.PARCEL_COLUMNS])
 
 
 def dim_parcels(parcels: DataFrame) -> DataFrame:
@@ -44,10 +42,8 @@ def dim_parcels(parcels: DataFrame) -> DataFrame:
 
 def fct_parcel_events(events: DataFrame, parcels: DataFrame) -> DataFrame:
     """Every event with its parcel's columns, null for an event without a parcel."""
-    dimension = parcels.select("parcel_id", *FACT_DIMENSION_COLUMNS)
-    return lookup_left(events.select(*S.SILVER_COLUMNS), dimension, "parcel_id").select(
-        *S.SILVER_COLUMNS, *FACT_DIMENSION_COLUMNS
-    )
+    dimension = parcels.selectExpr("parcel_id", *FACT_DIMENSION_COLUMNS)
+    return lookup_left(events, dimension, "parcel_id").selectExpr(*S.SILVER_COLUMNS, *FACT_DIMENSION_COLUMNS)
 
 
 def gold_delivery_funnel(events: DataFrame) -> DataFrame:

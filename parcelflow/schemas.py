@@ -6,6 +6,8 @@ so it never grows with the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -123,6 +125,13 @@ EVENT_SCHEMA = T.StructType(
 )
 EVENT_COLUMNS = EVENT_SCHEMA.names
 
+
+
+def casts(fields: Iterable[T.StructField]) -> list[str]:
+    """Select expressions that bring columns to the types of ``fields``."""
+    return [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in fields]
+
+
 # On the wire the event time is a count of milliseconds since the epoch, in UTC.
 WIRE_SCHEMA = T.StructType(
     [

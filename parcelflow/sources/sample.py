@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow import schemas as S
-from parcelflow.functions.sla import promised_by
 from parcelflow.functions.text import iso_timestamp
 from parcelflow.operators.ingest import to_frames
 from parcelflow.session import use_utc
@@ -21,16 +20,16 @@ LIVE_ACCEL = 0.001
 GOLD_ACCEL = 1.0
 MILLIS_PER_HOUR = 3_600_000
 
-# (hub, wind, precipitation, bad); one hub has no weather.
-HUB_WEATHER = [
-    ("AMS", 12.0, 0.0),
-    ("RTM", 2.0, 1.0),
-    ("UTR", 2.0, 0.0),
-    ("EIN", None, None),
-    ("DHG", 10.0, 0.0),
-    ("GRO", 9.9, 0.4),
-    ("ZWO", None, 0.5),
-]
+# Hub, wind, precipitation; one hub has no weather.
+HUB_WEATHER = """
+    ('AMS', 12.0D, 0.0D),
+    ('RTM', 2.0D, 1.0D),
+    ('UTR', 2.0D, 0.0D),
+    ('EIN', NULL, NULL),
+    ('DHG', 10.0D, 0.0D),
+    ('GRO', 9.9D, 0.4D),
+    ('ZWO', NULL, 0.5D)
+"""
 
 
 def instant(text: str) -> Column:
@@ -54,44 +53,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+def _array(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
 def parcel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan event per order line. Event ids repeat where a line number repeats."""
     lines = deal_out(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    line = F.col("l_linenumber")
-    flag = F.col("l_returnflag")
-    event_type = (
-        F.when(line == 1, "CREATED")
-        .when(line == 2, "LABEL_PRINTED")
-        .when(line == 3, "COLLECTED")
-        .when((line == 4) & (F.col("l_linestatus") == "F"), "AT_SORTING_HUB")
-        .when((line == 5) & (flag == "R"), "RESCHEDULED")
-        .when(line.isin(4, 5), "IN_TRANSIT")
-        .when(line == 6, "OUT_FOR_DELIVERY")
-        .when(flag == "A", "DELIVERED")
-        .when(flag == "R", "DELIVERY_FAILED")
-        .otherwise("RETURNED")
-    )
-    delay_hours = line * (F.lit(1) + F.col("l_quantity").cast("int") % 8)
-    order_key = F.col("l_orderkey").cast("string")
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            F.concat_ws("-", order_key, line.cast("string")).alias("event_id"),
-            F.concat(F.lit("P"), order_key).alias("parcel_id"),
-            event_type.alias("event_type"),
-            _pick([*S.HUB_IDS, "XXX"], F.col("l_suppkey") % 9).alias("hub_id"),
-            (F.lit(50.5) + (F.col("l_partkey") % 330) / F.lit(100.0)).alias("lat"),
-            (F.lit(3.3) + (F.col("l_suppkey") % 400) / F.lit(100.0)).alias("lon"),
-            F.timestamp_millis(F.unix_millis("o_orderdate") + delay_hours * MILLIS_PER_HOUR).alias("event_ts"),
-            line.cast("int").alias("version"),
-        )
-        .withColumn("status", F.col("event_type"))
-        .select(*S.EVENT_COLUMNS)
+    event_type = """CASE l_linenumber
+        WHEN 1 THEN 'CREATED'
+        WHEN 2 THEN 'LABEL_PRINTED'
+        WHEN 3 THEN 'COLLECTED'
+        WHEN 4 THEN if(l_linestatus = 'F', 'AT_SORTING_HUB', 'IN_TRANSIT')
+        WHEN 5 THEN if(l_returnflag = 'R', 'RESCHEDULED', 'IN_TRANSIT')
+        WHEN 6 THEN 'OUT_FOR_DELIVERY'
+        ELSE CASE l_returnflag WHEN 'A' THEN 'DELIVERED' WHEN 'R' THEN 'DELIVERY_FAILED' ELSE 'RETURNED' END
+    END"""
+    delay_hours = "l_linenumber * (1 + int(l_quantity) % 8)"
+    return lines.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber) AS event_id",
+        "concat('P', l_orderkey) AS parcel_id",
+        f"{event_type} AS event_type",
+        f"get({_array([*S.HUB_IDS, 'XXX'])}, int(l_suppkey % 9)) AS hub_id",
+        "50.5D + (l_partkey % 330) / 100.0D AS lat",
+        "3.3D + (l_suppkey % 400) / 100.0D AS lon",
+        f"timestamp_millis(unix_millis(o_orderdate) + {delay_hours} * {MILLIS_PER_HOUR}L) AS event_ts",
+        f"{event_type} AS status",
+        "l_linenumber AS version",
     )
 
 
@@ -101,54 +90,43 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     # broadcasts them, and customers too while they are small.
     places = (
         table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
         .select("c_custkey", "r_name")
     )
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 20 != 0)
-    customer = F.col("o_custkey")
-    priority = F.col("o_orderpriority")
-    level = (
-        F.when(priority == "1-URGENT", "SAME_DAY")
-        .when(priority.isin("2-HIGH", "3-MEDIUM"), "NEXT_DAY")
-        .otherwise("STANDARD")
-    )
-    hours = F.when(level == "SAME_DAY", 6).when(level == "NEXT_DAY", 24).otherwise(48)
-    created = F.col("o_orderdate")
-    carrier = _pick(["PostNL", "DHL", "DPD", "GLS"], customer % 4)
-    current = F.struct(created.alias("created_at"), carrier.alias("carrier"))
-    older = F.struct(
-        (created - F.make_dt_interval(F.lit(0), F.lit(1))).alias("created_at"), F.lit("OLD").alias("carrier")
-    )
-    versions = F.when(F.col("o_orderkey") % 7 == 0, F.array(current, older)).otherwise(F.array(current))
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 20 != 0")
+    carrier = f"get({_array(['PostNL', 'DHL', 'DPD', 'GLS'])}, int(o_custkey % 4))"
     return (
-        orders.join(places, customer == F.col("c_custkey"))
-        .select(
-            F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("parcel_id"),
-            _pick(S.HUB_IDS, customer % 8).alias("origin_hub"),
-            F.concat((customer + 1000).cast("string"), F.lit(" AB")).alias("destination_postcode"),
-            F.when(customer % 10 != 9, F.col("r_name")).alias("destination_region"),
-            level.alias("service_level"),
-            hours.alias("sla_hours"),
-            promised_by(created, hours).alias("promised_by"),
-            F.explode(versions).alias("v"),
+        orders.join(places, F.expr("o_custkey = c_custkey"))
+        .selectExpr(
+            "concat('P', o_orderkey) AS parcel_id",
+            f"get({_array(S.HUB_IDS)}, int(o_custkey % 8)) AS origin_hub",
+            "concat(1000 + o_custkey, ' AB') AS destination_postcode",
+            "if(o_custkey % 10 = 9, NULL, r_name) AS destination_region",
+            "CASE WHEN o_orderpriority = '1-URGENT' THEN 'SAME_DAY'"
+            " WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 'NEXT_DAY' ELSE 'STANDARD' END AS service_level",
+            f"{carrier} AS listed_carrier",
+            "o_orderdate",
+            "explode(if(o_orderkey % 7 = 0, array(0, 1), array(0))) AS age",
+        )
+        .selectExpr("*", f"CASE service_level {_whens(S.SLA_HOURS)} END AS sla_hours")
+        .selectExpr(
+            "*",
+            "o_orderdate - make_dt_interval(0, age) AS created_at",
+            "if(age = 0, listed_carrier, 'OLD') AS carrier",
+            "o_orderdate + make_dt_interval(0, sla_hours) AS promised_by",
         )
-        .select("*", "v.*")
-        .select(*S.PARCEL_COLUMNS)
+        .selectExpr(*S.PARCEL_COLUMNS)
     )
 
 
+def _whens(pairs: list[tuple]) -> str:
+    return " ".join(f"WHEN '{key}' THEN {value}" for key, value in pairs)
+
+
 def hub_weather(spark: SparkSession) -> DataFrame:
     """Observations of the sample's hubs: at most one row per hub."""
-    rows = [
-        F.struct(
-            F.lit(hub).alias("hub_id"),
-            F.lit(wind).cast("double").alias("wind_speed"),
-            F.lit(rain).cast("double").alias("precipitation"),
-        )
-        for hub, wind, rain in HUB_WEATHER
-    ]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
+    return spark.sql(f"SELECT * FROM VALUES {HUB_WEATHER} AS t(hub_id, wind_speed, precipitation)")
 
 
 def weather_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
