@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelflow import schemas as S
 from parcelflow.operators import alerts as alert_ops
-from parcelflow.operators import quality, silver, warehouse
+from parcelflow.operators import quality, silver, warehouse, weather
 from parcelflow.sources import files
 from parcelflow.streaming import state_log
 from parcelflow.streaming.alerts import sent_alerts
@@ -21,6 +21,17 @@ def build_silver(spark: SparkSession, lake: Lake) -> None:
     files.write_by_date(silver.to_silver(files.read_bronze(spark, lake.bronze)), lake.silver)
 
 
+def refresh_weather(spark: SparkSession, lake: Lake, inbox: str) -> None:
+    """Hub flags from landed response files, one response per file; the newest file counts."""
+    responses = (
+        spark.read.text(inbox, wholetext=True).select(
+            F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("fetched_at")
+        )
+    )
+    flagged = weather.flags(weather.parse_responses(responses))
+    files.write_weather(weather.weather_by_hub(flagged, "fetched_at"), lake.weather)
+
+
 @dataclass(frozen=True)
 class Promise:
     """What a model promises about its columns."""

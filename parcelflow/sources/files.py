@@ -102,17 +102,27 @@ def read_weather_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     return snapshot_flags(document)
 
 
+WEATHER_SCHEMA = T.StructType(
+    [
+        T.StructField("hub_id", T.StringType()),
+        T.StructField("weather_bad", T.BooleanType()),
+        T.StructField("fetched_at", T.TimestampType()),
+    ]
+)
+
+
 def write_weather(flagged: DataFrame, path: str) -> None:
-    """Replaces the stored hub flags, stamped with the time of writing."""
-    to_snapshot(flagged, F.current_timestamp()).write.mode("overwrite").parquet(path)
+    """Adds a snapshot of the hub flags, stamped with the time of writing.
+
+    A snapshot has at most a row per hub and appears as one file, so a running stream sees
+    either all of it or none.
+    """
+    flags = to_snapshot(flagged.select("hub_id", "weather_bad"), F.current_timestamp())
+    flags.coalesce(1).write.mode("append").parquet(path)
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType(
-        [
-            T.StructField("hub_id", T.StringType()),
-            T.StructField("weather_bad", T.BooleanType()),
-            T.StructField("fetched_at", T.TimestampType()),
-        ]
-    )
-    return read_or_empty(spark, path, schema)
+    """The hub flags of the newest snapshot; a hub it leaves out has no weather."""
+    stored = read_or_empty(spark, path, WEATHER_SCHEMA)
+    newest = stored.agg(F.max("fetched_at")).first()[0]
+    return stored.filter(F.col("fetched_at") == F.lit(newest))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import random
 from datetime import date, datetime, timedelta
 
@@ -331,7 +332,22 @@ def test_weather_files(spark, scratch):
     snapshot = files.read_weather_snapshot(spark, f"{scratch}/snapshot.json")
     assert rows(snapshot) == [("AMS", True), ("UTR", False)]
     files.write_weather(snapshot, f"{scratch}/weather")
-    assert files.read_weather(spark, f"{scratch}/weather").filter("fetched_at IS NOT NULL").count() == 2
+    assert rows(files.read_weather(spark, f"{scratch}/weather"), "hub_id", "weather_bad") == [("AMS", True), ("UTR", False)]
+    files.write_weather(snapshot.filter("weather_bad"), f"{scratch}/weather")
+    assert rows(files.read_weather(spark, f"{scratch}/weather"), "hub_id", "weather_bad") == [("AMS", True)]
+    assert files.read_weather(spark, f"{scratch}/nowhere").count() == 0
+
+
+def test_weather_job(spark, scratch):
+    lake = Lake(f"{scratch}/lake")
+    calm, storm = ({"current": {"time": "t", "wind_speed_10m": w, "precipitation": 0.0}} for w in (1.0, 20.0))
+    os.mkdir(f"{scratch}/in")
+    for n, body in enumerate(([storm, storm, calm], [calm, storm])):
+        with open(f"{scratch}/in/{n}.json", "w") as out:
+            json.dump(body, out, indent=1)
+        os.utime(f"{scratch}/in/{n}.json", (1_000_000 + n, 1_000_000 + n))
+    jobs.refresh_weather(spark, lake, f"{scratch}/in")
+    assert rows(files.read_weather(spark, lake.weather), "hub_id", "weather_bad") == [("AMS", False), ("RTM", True), ("UTR", False)]
 
 
 # --- lifecycle --------------------------------------------------------------
