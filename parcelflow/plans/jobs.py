@@ -22,7 +22,7 @@ def build_silver(spark: SparkSession, lake: Lake) -> None:
 
 
 def refresh_weather(spark: SparkSession, lake: Lake, inbox: str) -> None:
-    """Hub flags from landed response files, one response per file; the newest file counts."""
+    """Hub flags from landed response files, one response per file; the newest entry of a hub counts."""
     responses = (
         spark.read.text(inbox, wholetext=True).select(
             F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("fetched_at")
