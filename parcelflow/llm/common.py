@@ -81,12 +81,15 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def paired_chunks(rows: DataFrame, key: str, member: str, chunk: int) -> DataFrame:
+def paired_chunks(
+    rows: DataFrame, key: str, member: str, chunk: int, payload: DataFrame | None = None
+) -> DataFrame:
     """Deals bucket rows to tasks so that any two members of a bucket meet, whatever the bucket's size.
 
     Buckets of one row go. A bucket of n rows is cut into ``ceil(n / chunk)`` chunks by a hash of the member, and each
     pair of chunks ``(lo, hi)`` is a group of at most about ``2 * chunk`` rows. Adds ``lo``, ``hi`` and ``mine``, the
-    row's own chunk. Rows come out sorted by ``(key, lo, hi)`` with each group in one task.
+    row's own chunk. Rows come out sorted by ``(key, lo, hi)`` with each group in one task. ``payload`` has what a task
+    needs of each member; it joins late, so its columns are shuffled with the dealt rows only.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / chunk).cast("int")
@@ -98,6 +101,8 @@ def paired_chunks(rows: DataFrame, key: str, member: str, chunk: int) -> DataFra
         .withColumn("hi", F.greatest("mine", "other"))
         .drop("n", "other")
     )
+    if payload is not None:
+        live = live.join(payload, member)
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return live.repartition(count, key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 

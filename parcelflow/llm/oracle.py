@@ -21,5 +21,47 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op9_warc": f"""
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), digests AS (
+    SELECT page_id, octet_length(payload) AS bytes, sha1(payload) AS hex FROM payloads
+), coded AS (
+    SELECT page_id, bytes, hex, translate(
+        {" || ".join(f"upper(to_base(('0x' || substr(hex, {1 + 5 * i}, 5))::BIGINT, 32, 4))" for i in range(8))},
+        '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+    FROM digests
+), first AS (
+    SELECT hex, min(page_id) AS first_id FROM digests GROUP BY hex
+)
+SELECT c.page_id, c.bytes AS payload_bytes, c.payload_digest,
+       CASE WHEN c.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN c.page_id <> f.first_id THEN f.first_id END AS refers_to
+FROM coded c JOIN first f ON c.hex = f.hex
+""",
+    "op7_substring_dedup": """
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), words AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split
+), starts AS (
+    SELECT doc_id, words, unnest(generate_series(1, len(words) - 34)) AS pos FROM split WHERE len(words) >= 35
+), windows AS (
+    SELECT doc_id, pos, md5(array_to_string(list_slice(words, pos, pos + 34), ' ')) AS passage FROM starts
+), counted AS (
+    SELECT doc_id, pos, count(*) OVER (PARTITION BY passage) > 1 AS repeated FROM windows
+), marked AS (
+    SELECT w.doc_id, w.pos, w.word, coalesce(bool_or(coalesce(c.repeated, false)) OVER (
+        PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS removed
+    FROM words w LEFT JOIN counted c ON w.doc_id = c.doc_id AND w.pos = c.pos
+), kept AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed,
+           coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT removed), '') AS text
+    FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """,
 }
