@@ -148,14 +148,15 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
         import pandas as pd
 
         pieces = (p for b in batches for p in b["value"])
-        record, out = None, []
+        record, seen, out = None, None, []
         for header, part, done in _parse(pieces):
-            if header["WARC-Type"] != "continuation":
+            if header is not seen and header["WARC-Type"] != "continuation":
                 name = header["WARC-Record-ID"][10:-1]
                 record = {"id": None if name == "none" else int(name), "kind": header["WARC-Type"], "chunk_no": -1}
                 refers = header.get("WARC-Refers-To", "<urn:page:none>")[10:-1]
                 record["refers_to"] = None if refers == "none" else int(refers)
                 state, size = hashlib.sha1(), 0
+            seen = header
             state.update(part)
             size += len(part)
             if not done:
