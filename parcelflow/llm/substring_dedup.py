@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +15,17 @@ MOST_BITS = 1 << 27
 SHARD_WORDS, MANY = 1_000_000, 5_000
 
 
-@lru_cache(maxsize=400_000)
-def _word_hash(word: bytes) -> int:
-    import xxhash
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
 
-    return xxhash.xxh64_intdigest(word)
+_HASHES = _WordHashes()
 
 
 def passages(words: list[bytes], length: int):
@@ -34,7 +38,7 @@ def passages(words: list[bytes], length: int):
 
     if len(words) < length:
         return (np.zeros(0, np.int64),) * 3
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     size = min(ANCHOR, length)
     runs = len(words) - size + 1
     code = np.zeros(runs, np.uint64)
@@ -79,19 +83,20 @@ class WaveletMatrix:
         low = words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
         return before[block] + np.bitwise_count(low)
 
-    def rank(self, value, low, high):
-        """Occurrences of ``value`` before ``low`` and before ``high``, for arrays of each."""
+    def down(self, value, *places):
+        """Each of ``places`` followed down the levels along ``value``."""
         import numpy as np
 
-        start = np.zeros(len(value), np.int64)
         for level in range(self.bits):
             zeros = self.levels[level][2]
             bit = (value >> (self.bits - 1 - level) & 1).astype(bool)
-            a, b, c = (self.ones(level, x) for x in (start, low, high))
-            start = np.where(bit, zeros + a, start - a)
-            low = np.where(bit, zeros + b, low - b)
-            high = np.where(bit, zeros + c, high - c)
-        return low - start, high - start
+            ones = [self.ones(level, x) for x in places]
+            places = [np.where(bit, zeros + a, x - a) for a, x in zip(ones, places)]
+        return places
+
+    def rank(self, value, low, high):
+        """Occurrences of ``value`` before ``low`` and before ``high``, plus the same number for each value."""
+        return self.down(value, low, high)
 
 
 class FMIndex:
@@ -118,8 +123,10 @@ class FMIndex:
             if moved[-1] == n - 1:
                 break
             width *= 2
-        self.before = np.searchsorted(text[order], np.arange(int(text.max()) + 2))
+        symbols = np.arange(int(text.max()) + 1)
+        self.before = np.searchsorted(text[order], np.append(symbols, symbols[-1] + 1))
         self.last = WaveletMatrix(text[order - 1])
+        self.shift = self.before[:-1] - self.last.down(symbols, np.zeros(len(symbols), np.int64))[0]
         self.size = n
 
     def repeated(self, text, ends, length: int):
@@ -132,11 +139,11 @@ class FMIndex:
 
         out = np.zeros(len(ends), bool)
         live = np.arange(len(ends))
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size)
-        for step in range(1, length + 1):
+        value = text[ends - 1]
+        low, high = self.before[value], self.before[value + 1]
+        for step in range(2, length + 1):
             value = text[ends[live] - step]
-            a, b = self.last.rank(value, low, high)
-            low, high = self.before[value] + a, self.before[value] + b
+            low, high = (self.shift[value] + x for x in self.last.rank(value, low, high))
             keep = high - low > 1
             live, low, high = live[keep], low[keep], high[keep]
         out[live] = True
@@ -210,28 +217,34 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, length: int)
     table[words["w"].to_numpy()] = words["mask"].to_numpy()
     shared = spark.sparkContext.broadcast(table.view(np.uint64))
 
-    @F.pandas_udf("array<struct<start:int,key:long,h1:long,h2:long,words:binary>>")
+    @F.arrow_udf("array<struct<start:int,key:long,h1:long,h2:long,words:binary>>")
     def cut(texts):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
         import xxhash
 
-        table, last, out = shared.value, np.uint64(bits - 1), []
-        for text in texts:
+        table, last = shared.value, np.uint64(bits - 1)
+        starts, keys, lines, ends = [], [], [], [0]
+        for text in texts.to_pylist():
             words = (text or "").encode().split()
             start, windows, key = passages(words, length)
             keep = np.ones(len(start), bool)
             for i in range(2):
                 spot = key.view(np.uint64) >> np.uint64(20 * i) & last
                 keep &= (table[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
-            found = []
-            for s, n, k in zip(start[keep].tolist(), windows[keep].tolist(), key[keep].tolist()):
-                line = b" ".join(words[s : s + n + length - 1])
-                digest = xxhash.xxh3_128_digest(line)
-                h1, h2 = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
-                found.append({"start": s, "key": k, "h1": h1, "h2": h2, "words": line})
-            out.append(found)
-        return pd.Series(out)
+            start, windows = start[keep], windows[keep]
+            starts.append(start)
+            keys.append(key[keep])
+            stop = start + windows + length - 1
+            lines += [b" ".join(words[a:b]) for a, b in zip(start.tolist(), stop.tolist())]
+            ends.append(len(lines))
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
+        columns = [
+            pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(keys), pa.int64()),
+            pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(lines, pa.binary()),
+        ]
+        found = pa.StructArray.from_arrays(columns, ["start", "key", "h1", "h2", "words"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
     cuts = stored(rows.select("id", "row_digest", F.explode(cut("text")).alias("p")).select("id", "row_digest", "p.*"), "cuts")
     same = stored(
