@@ -13,7 +13,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units longer than this are segmented one by one, shorter ones side by side.
 LONG_UNIT = 48
 #: Segmented units a worker remembers, over all variants.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Segmentations that a unit can have under one seed; rows and places in a row deal them out.
 VARIANTS = 4
 
@@ -255,7 +255,7 @@ class Encoder:
         return out
 
 
-def _blocks(texts: list[str | None], points: int = 2_000_000):
+def _blocks(texts: list[str | None], points: int = 1_000_000):
     """Ranges of texts of about so many code points, so that a block's units fit in memory."""
     start = total = 0
     for k, t in enumerate(texts):
@@ -312,7 +312,8 @@ def encode(text: Column, salt: Column, model: str = MODEL, seed: int = 1, dropou
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), np.int32)))
 
     first = F.pmod(F.xxhash64(F.coalesce(salt.cast("string"), F.lit("0"))), F.lit(VARIANTS)).cast("int")
-    return run(text, first)
+    # Marked so that the planner runs it once, also where a decoder reads its result; it is a function of its input.
+    return run.asNondeterministic()(text, first)
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:
@@ -324,7 +325,9 @@ def decode(ids: Column, model: str = MODEL) -> Column:
         import pyarrow as pa
 
         vocab = _encoder(data, 0, 0.0).vocab if not _ENCODERS else next(iter(_ENCODERS.values())).vocab
-        return pa.array([None if x is None else decode_ids(vocab, x) for x in lists.to_pylist()], pa.string())
+        ends, values, known = lists.offsets.to_pylist(), lists.values.to_numpy(), lists.is_valid().to_pylist()
+        spans = zip(known, ends, ends[1:])
+        return pa.array([decode_ids(vocab, values[a:b].tolist()) if ok else None for ok, a, b in spans], pa.string())
 
     return run(ids)
 
