@@ -61,7 +61,8 @@ def _live(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
     }
     live.totals(question["state"]).show()
     live.count_by_status(question["state"]).show()
-    live.count_by_hub(question["state"]).show()
+    hubs = live.count_by_hub(question["state"])
+    hubs.show(hubs.count())
     live.sla_counts(**question).show()
     live.worklist(**question, sla=args.sla, limit=args.limit).show(args.limit, truncate=False)
 
@@ -90,12 +91,13 @@ def main() -> None:
         jobs.build_warehouse(spark, lake, args.accel)
         jobs.check_warehouse(spark).show(100, truncate=False)
     elif args.job == "overdue":
-        jobs.overdue_alerts(spark, lake, accel=args.accel).show(truncate=False)
+        print(jobs.send_overdue(spark, lake, accel=args.accel), "alerts stored in", lake.alerts)
     elif args.job == "live":
         _live(spark, lake, args)
     elif args.job == "history":
         for name in MARTS:
-            spark.table(name).show(100, truncate=False)
+            mart = spark.read.parquet(lake.mart(name))
+            mart.show(mart.count(), truncate=False)
 
 
 if __name__ == "__main__":

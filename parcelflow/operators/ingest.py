@@ -72,18 +72,25 @@ def validate(events: DataFrame, as_of: Column | None = None, hubs: Sequence[str]
 
 
 def reject(events: DataFrame, as_of: Column | None = None, hubs: Sequence[str] = S.HUB_IDS) -> DataFrame:
-    """Rows that break a rule, with ``reject_reason`` naming every broken rule."""
+    """Rows that break a rule, with ``reject_reason`` naming every broken rule.
+
+    Rows that already carry their reason keep it: a row is judged once.
+    """
+    if "reject_reason" in events.columns:
+        return events.filter(F.col("reject_reason") != "").drop("is_valid", "is_decoded")
+    return judge(events, as_of, hubs).filter(F.col("reject_reason") != "").drop("is_valid", "is_decoded")
+
+
+def judge(events: DataFrame, as_of: Column | None = None, hubs: Sequence[str] = S.HUB_IDS) -> DataFrame:
+    """Adds ``reject_reason``, empty for a valid row, and ``is_valid``, both from one look at the clock."""
     reasons = reject_reasons(as_of, hubs)
     if "is_decoded" in events.columns:
         reasons = F.when(F.col("is_decoded"), reasons).otherwise(F.array(F.lit("decode")))
-    return (
-        events.withColumn("reject_reason", F.array_join(reasons, ","))
-        .filter(F.col("reject_reason") != "")
-        .drop("is_valid", "is_decoded")
-    )
+    judged = events.withColumn("reject_reason", F.array_join(reasons, ","))
+    return judged.withColumn("is_valid", F.col("reject_reason") == "")
 
 
-def enrich(events: DataFrame, weather: DataFrame | None) -> DataFrame:
+def enrich(events: DataFrame, weather: DataFrame | None, hubs: Sequence[str] = S.HUB_IDS) -> DataFrame:
     """Adds ``weather_bad`` of the event's hub, null when the hub has no weather.
 
     Only hubs of the network count and each gives one flag, so the broadcast holds at
@@ -92,7 +99,7 @@ def enrich(events: DataFrame, weather: DataFrame | None) -> DataFrame:
     if weather is None:
         return events.withColumn("weather_bad", F.lit(None).cast("boolean"))
     flags = (
-        weather.filter(F.col("hub_id").isin(S.HUB_IDS))
+        weather.filter(F.col("hub_id").isin(list(hubs)))
         .groupBy("hub_id")
         .agg(F.bool_or("weather_bad").alias("weather_bad"))
     )

@@ -98,18 +98,10 @@ def to_snapshot(flagged: DataFrame, fetched_at: Column) -> DataFrame:
 def uncovered(observations: DataFrame, *snapshot_key: str, hubs: Sequence[str] = S.HUB_IDS) -> DataFrame:
     """Hubs of the network without an observation, per snapshot.
 
-    The seen hubs of a snapshot are one bit mask, built by a combined hash aggregation.
+    The seen hubs of a snapshot are one set of at most as many names as the network has hubs, of any number. Without
+    a key, no observations at all leave every hub uncovered.
     """
     names = F.array(*[F.lit(h) for h in hubs])
-    place = F.coalesce(F.array_position(names, F.col("hub_id")), F.lit(0)).cast("int")
-    bit = F.when(place > 0, F.expr("shiftleft(1L, place - 1)")).otherwise(F.lit(0).cast("bigint"))
-    seen = (
-        observations.withColumn("place", place)
-        .groupBy(*snapshot_key)
-        .agg(F.bit_or(bit).alias("seen"))
-    )
-    return (
-        seen.select(*snapshot_key, "seen", F.posexplode(names).alias("ord", "hub_id"))
-        .filter(F.expr("(seen & shiftleft(1L, ord)) = 0"))
-        .select(*snapshot_key, "hub_id")
-    )
+    known = F.when(F.col("hub_id").isin(list(hubs)), F.col("hub_id"))
+    seen = observations.groupBy(*snapshot_key).agg(F.collect_set(known).alias("seen"))
+    return seen.select(*snapshot_key, F.explode(F.array_except(names, "seen")).alias("hub_id"))

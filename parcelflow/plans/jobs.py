@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow import schemas as S
@@ -12,8 +13,8 @@ from parcelflow.operators import alerts as alert_ops
 from parcelflow.operators import quality, silver, warehouse, weather
 from parcelflow.sources import files
 from parcelflow.streaming import state_log
-from parcelflow.streaming.alerts import sent_alerts
-from parcelflow.streaming.lake import Lake
+from parcelflow.streaming.alerts import ALERT_SCHEMA, sent_alerts
+from parcelflow.streaming.lake import Lake, batch_dir
 
 
 def build_silver(spark: SparkSession, lake: Lake) -> None:
@@ -58,32 +59,21 @@ PROMISES = {
 
 
 def build_warehouse(spark: SparkSession, lake: Lake, accel: float = S.TIME_ACCELERATION) -> None:
-    """Registers the staging views and writes the mart tables of the current database.
+    """Writes the mart tables into the lake and registers them and the staging views by name.
 
-    Later marts read the stored ones, so each reads only the columns it needs. The parcel
-    table has one row per key and is bucketed: joins and aggregations by parcel on it need
-    no shuffle of their own.
+    Later marts read the stored ones, so each reads only the columns it needs.
     """
     warehouse.stg_parcel_events(files.read_silver(spark, lake.silver)).createOrReplaceTempView("stg_parcel_events")
     warehouse.stg_parcels(files.read_parcels(spark, lake.parcels)).createOrReplaceTempView("stg_parcels")
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        warehouse.dim_parcels(spark.table("stg_parcels"))
-        .repartition(buckets, "parcel_id")
-        .write.mode("overwrite")
-        .bucketBy(buckets, "parcel_id")
-        .sortBy("parcel_id")
-        .saveAsTable("dim_parcels")
-    )
+    def keep(name: str, rows: DataFrame, *by: str) -> None:
+        rows.write.mode("overwrite").partitionBy(*by).parquet(lake.mart(name))
+        spark.read.parquet(lake.mart(name)).createOrReplaceTempView(name)
+
+    keep("dim_parcels", warehouse.dim_parcels(spark.table("stg_parcels")))
     events, parcels = spark.table("stg_parcel_events"), spark.table("dim_parcels")
-    (
-        warehouse.fct_parcel_events(events, parcels)
-        .hint("rebalance", "event_date")
-        .write.mode("overwrite")
-        .partitionBy("event_date")
-        .saveAsTable("fct_parcel_events")
-    )
+    facts = warehouse.fct_parcel_events(events, parcels).hint("rebalance", "event_date")
+    keep("fct_parcel_events", facts, "event_date")
     outcomes = warehouse.outcomes_of_fact(spark.table("fct_parcel_events"))
     for name, mart in {
         "gold_delivery_funnel": warehouse.gold_delivery_funnel(events),
@@ -92,7 +82,7 @@ def build_warehouse(spark: SparkSession, lake: Lake, accel: float = S.TIME_ACCEL
         "gold_weather_impact": warehouse.gold_weather_impact(events),
     }.items():
         # At most a few rows, one per type, region or weather.
-        mart.coalesce(1).write.mode("overwrite").saveAsTable(name)
+        keep(name, mart.coalesce(1))
 
 
 def check_warehouse(spark: SparkSession) -> DataFrame:
@@ -128,3 +118,14 @@ def overdue_alerts(
     return alert_ops.overdue(
         state_log.current_state(spark, lake), parcels, now, sent_alerts(spark, lake), accel
     )
+
+
+def send_overdue(
+    spark: SparkSession, lake: Lake, as_of: Column | None = None, accel: float = S.TIME_ACCELERATION
+) -> int:
+    """Stores all overdue alerts as sent, in a batch of their own below the stream's, and returns their number."""
+    found = overdue_alerts(spark, lake, as_of, accel).select(*ALERT_SCHEMA.names)
+    count = Observation()
+    target = batch_dir(lake.alerts, -time.time_ns())
+    found.observe(count, F.count(F.lit(1)).alias("rows")).write.parquet(target)
+    return count.get["rows"]

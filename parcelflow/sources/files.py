@@ -73,10 +73,29 @@ def write_by_date(events: DataFrame, path: str) -> None:
 
 
 def read_parcels(spark: SparkSession, path: str) -> DataFrame:
-    """Parcel rows from JSON lines; blank lines are skipped. Nothing is inferred."""
-    rows = read_or_empty(spark, path, S.PARCEL_SCHEMA, "json")
-    # A blank line has no content and parses to a row of nulls.
-    return rows.filter(F.col("parcel_id").isNotNull())
+    """Parcel rows from JSON lines, those without an id included; blank lines give no row. Nothing is inferred.
+
+    Lines that do not parse are in ``read_parcel_rejects``.
+    """
+    return _parcel_lines(spark, path).filter(f"{BROKEN_LINE} IS NULL").drop(BROKEN_LINE)
+
+
+def read_parcel_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the parcel files that do not parse, as ``line``."""
+    return _parcel_lines(spark, path).filter(f"{BROKEN_LINE} IS NOT NULL").select(F.col(BROKEN_LINE).alias("line"))
+
+
+BROKEN_LINE = "_broken_line"
+
+
+def _parcel_lines(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*S.PARCEL_SCHEMA, T.StructField(BROKEN_LINE, T.StringType())])
+    try:
+        return spark.read.schema(schema).option("columnNameOfCorruptRecord", BROKEN_LINE).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def append_parcels(parcels: DataFrame, path: str) -> None:

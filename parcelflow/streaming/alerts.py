@@ -33,6 +33,9 @@ def change_feed(spark: SparkSession, lake: Lake) -> DataFrame:
     gets to them, and the new ones follow.
     """
     schema = T.StructType([*S.STATE_SCHEMA, BATCH])
+    if read_or_empty(spark, lake.changes, schema).limit(1).isEmpty():
+        # A stream needs its folder; an ingest that has not started yet has not made it.
+        spark.createDataFrame([], S.STATE_SCHEMA).write.mode("append").parquet(batch_dir(lake.changes, -1))
     return (
         spark.readStream.schema(schema).option("ignoreMissingFiles", "true").parquet(lake.changes).drop("batch_id")
     )

@@ -15,17 +15,24 @@ from parcelflow.streaming import state_log
 from parcelflow.streaming.lake import Lake, batch_dir
 
 DEDUP_KEY = "dedup_key"
+#: The event time where the clock allows it: one event dated far ahead must not make all others late.
+EVENT_CLOCK = "event_clock"
 Metrics = Callable[[int, dict[str, int]], None]
 
 
 def flag(framed: DataFrame, as_of: Column | None = None, decode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Decoded and judged events. An undecodable value keeps its bytes in ``raw``."""
+    """Decoded and judged events. An undecodable value keeps its bytes in ``raw``.
+
+    The verdict is made here, once, and carried along: later steps never look at the clock again. A null value has
+    no bytes to tell it from others, so each gets a key of its own.
+    """
     with_raw = framed.select("value", F.col("value").alias("raw"))
     events = (decode or ingest.decode)(with_raw)
     return (
         events.withColumn("raw", F.when(~F.col("is_decoded"), F.col("raw")))
-        .withColumn(DEDUP_KEY, F.coalesce("event_id", F.concat(F.lit("undecoded:"), F.sha2("raw", 256))))
-        .transform(ingest.validate, as_of)
+        .withColumn(DEDUP_KEY, F.coalesce("event_id", F.concat(F.lit("undecoded:"), F.coalesce(F.sha2("raw", 256), F.uuid()))))
+        .transform(ingest.judge, as_of)
+        .withColumn(EVENT_CLOCK, F.when(~F.col("reject_reason").contains("future"), F.col("event_ts")))
     )
 
 
@@ -41,7 +48,7 @@ def deduplicated(
     """
     if collapse_copies:
         events = events.mapInPandas(_newest_copies, events.schema)
-    marked = events.withWatermark("event_ts", delay)
+    marked = events.withWatermark(EVENT_CLOCK, delay)
     if mode == "exact":
         return marked.dropDuplicates([DEDUP_KEY])
     if mode == "bounded":
@@ -78,10 +85,9 @@ def write_batch(
             .partitionBy("event_date")
             .parquet(batch_dir(lake.bronze, batch_id))
         )
+        refused_rows = ingest.reject(batch).select(*S.EVENT_COLUMNS, "reject_reason", "raw")
         (
-            ingest.reject(batch.filter("NOT is_valid"), as_of)
-            .select(*S.EVENT_COLUMNS, "reject_reason", "raw")
-            .observe(refused, F.count(F.lit(1)).alias("rows"))
+            refused_rows.observe(refused, F.count(F.lit(1)).alias("rows"))
             .write.mode("overwrite")
             .parquet(batch_dir(lake.dead_letters, batch_id))
         )

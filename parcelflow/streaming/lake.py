@@ -47,6 +47,9 @@ class Lake:
     def alerts(self) -> str:
         return f"{self.root}/alerts"
 
+    def mart(self, name: str) -> str:
+        return f"{self.root}/warehouse/{name}"
+
     def checkpoint(self, query: str) -> str:
         return f"{self.root}/_checkpoints/{query}"
 

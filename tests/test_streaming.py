@@ -210,3 +210,35 @@ def test_keyed_frames_round_trip(spark):
     assert rows(back.drop("is_decoded")) == rows(source)
     short = spark.createDataFrame([(bytearray(b"\x00\x01"),)], "value binary")
     assert not ops.decode(short).first().is_decoded
+
+
+def test_every_row_is_stored_or_refused(spark, scratch):
+    """Events on both sides of the clock's tolerance, tombstones and one of the far future: no row is lost."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from parcelflow.operators.ingest import to_frames
+    from parcelflow.streaming import ingest as stream
+
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    base = spark.range(400).select(
+        F.concat(F.lit("e"), "id").alias("event_id"), F.concat(F.lit("p"), "id").alias("parcel_id"),
+        F.lit("CREATED").alias("event_type"), F.lit("AMS").alias("hub_id"), F.lit(52.0).alias("lat"),
+        F.lit(5.0).alias("lon"),
+        F.when(F.col("id") == 0, F.lit("2099-01-01").cast("timestamp"))
+        .otherwise(F.current_timestamp() + F.make_interval(secs=F.lit(290) + F.col("id") / 10)).alias("event_ts"),
+        F.lit("CREATED").alias("status"), F.lit(1).alias("version"),
+    )
+    framed = to_frames(base).select("value").union(spark.createDataFrame([(None,), (None,)], "value binary"))
+    framed.write.parquet(f"{scratch}/in")
+    lake = stream.Lake(f"{scratch}/lake")
+    for _ in range(2):  # the second run has the first one's watermark
+        source = spark.readStream.schema("value binary").parquet(f"{scratch}/in")
+        stream.start(source, lake, available_now=True).awaitTermination()
+        to_frames(base.withColumn("event_id", F.concat("event_id", F.lit("b"))).withColumn("event_ts", F.current_timestamp())).select(
+            "value"
+        ).write.mode("append").parquet(f"{scratch}/in")
+    stored, refused = spark.read.parquet(lake.bronze).count(), spark.read.parquet(lake.dead_letters).count()
+    assert stored + refused == 402 + 400
+    assert spark.read.parquet(lake.dead_letters).filter("reject_reason = 'decode'").count() == 2
