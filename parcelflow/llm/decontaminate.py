@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,11 +137,10 @@ def find_leaks(
 
     def search(block):
         @F.pandas_udf("array<struct<item:long,edits:int>>")
-        def run(column):
-            import pandas as pd
-
-            matcher = Matcher(block, rate)
-            return pd.Series([[{"item": n, "edits": e} for n, e in matcher.find(normal(t))] for t in column])
+        def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            matcher = Matcher(block, rate)  # once per task
+            for column in columns:
+                yield pd.Series([[{"item": n, "edits": e} for n, e in matcher.find(normal(t))] for t in column])
 
         found = texts.select(id_col, F.explode(run("__text")).alias("hit"))
         return found.select(id_col, F.col("hit.item").alias(item_col), F.col("hit.edits").alias("edits"))
