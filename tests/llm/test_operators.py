@@ -114,14 +114,33 @@ def test_anchors_lose_no_link(monkeypatch, spark):
         keys = []
         for fps in (base, base ^ flip):
             held = defaultdict(set)
-            for row, key in zip(*simhash.anchors(fps, 4)):
+            for row, key in zip(*simhash.anchors(fps[:, None], 2)):
                 held[row].add(key)
             keys.append(held)
         assert all(keys[0][i] & keys[1][i] for i in range(len(base)))
     monkeypatch.setattr(simhash, "CHUNK", 3)
     near = {int(base[0])} | {int(base[0]) ^ (1 << b) ^ (1 << c) for b in range(6) for c in range(6) if b != c}
-    distinct = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in near], "fp long")
-    assert len({r.root for r in components(simhash.fingerprint_links(distinct, 4)).collect()}) == 1
+    distinct = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) * 2 for f in near], "node long, w0 long")
+    assert len({r.root for r in components(simhash.fingerprint_links(distinct, 4, 2)).collect()}) == 1
+
+
+def test_long_fingerprints_find_near_copies(spark):
+    """Copies with a word replaced here and there, similarity 0.85 or more, are found; other texts stay alone."""
+    noise = random.Random(8)
+    word = lambda: "".join(noise.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(150):
+        base = [word() for _ in range(noise.randint(250, 600))]
+        copy = list(base)
+        for _ in range(len(base) // 100):
+            copy[noise.randrange(len(copy))] = word()
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(copy)), (3 * i + 2, " ".join(map(str.upper, base[:-1])))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.simhash_groups(docs, width=5, words=6, max_bits=64, half_bits=2).collect()
+    assert all(len(r.fingerprint) == 96 and r.component_id // 3 == r.doc_id // 3 for r in found)
+    assert sum(r.component_id != 3 * (r.doc_id // 3) for r in found) <= 5
+    awkward_rows = simhash.simhash_groups(awkward(spark), width=5, words=6, max_bits=64, half_bits=2)
+    assert awkward_rows.count() == awkward(spark).count()
 
 
 def test_decontamination(spark):

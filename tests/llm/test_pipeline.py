@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from parcelflow.llm import decontaminate, simhash
@@ -27,11 +28,19 @@ def test_stages(spark, scratch):
     for a, b in zip(names, names[1:]):
         assert set(kept[b]) <= set(kept[a])
     lines, groups = kept["line_dedup"], kept["simhash_near_dedup"]
-    prints = {i: simhash.fingerprint(r.text, 4) for i, r in lines.items()}
-    for i in lines:
-        assert any((prints[i] ^ prints[j]).bit_count() <= 4 for j in groups) or i in groups or len(groups) < len(lines)
-    order = sorted(groups)
-    assert all((prints[i] ^ prints[j]).bit_count() > 4 for i in order for j in order if i < j)
+    order = sorted(lines)
+    prints = np.array([simhash.fingerprint(lines[i].text, 5, 6) for i in order])
+    halves = prints.view(np.uint32)
+    least = dict(zip(order, order))
+    for _ in order:
+        before = dict(least)
+        for k, i in enumerate(order):
+            close = simhash.distances(prints[k], prints) <= 64
+            close &= np.bitwise_count(halves[k] ^ halves).min(1) <= 2
+            least[i] = min(least[order[j]] for j in np.flatnonzero(close))
+        if least == before:
+            break
+    assert set(groups) == {i for i in order if least[i] == i}
     items = [(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = kept["benchmark_decontamination"]
     assert not any(t in decontaminate.normal(r.text) for r in clean.values() for _, t in items)
