@@ -136,10 +136,10 @@ def test_long_fingerprints_find_near_copies(spark):
             copy[noise.randrange(len(copy))] = word()
         rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(copy)), (3 * i + 2, " ".join(map(str.upper, base[:-1])))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = simhash.simhash_groups(docs, width=5, words=6, max_bits=64, half_bits=2).collect()
-    assert all(len(r.fingerprint) == 96 and r.component_id // 3 == r.doc_id // 3 for r in found)
+    found = simhash.simhash_groups(docs, width=5, words=7, max_bits=76, piece_bits=2, size=28).collect()
+    assert all(len(r.fingerprint) == 112 and r.component_id // 3 == r.doc_id // 3 for r in found)
     assert sum(r.component_id != 3 * (r.doc_id // 3) for r in found) <= 5
-    awkward_rows = simhash.simhash_groups(awkward(spark), width=5, words=6, max_bits=64, half_bits=2)
+    awkward_rows = simhash.simhash_groups(awkward(spark), width=5, words=7, max_bits=76, piece_bits=2, size=28)
     assert awkward_rows.count() == awkward(spark).count()
 
 
