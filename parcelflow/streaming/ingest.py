@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parcelflow import schemas as S
 from parcelflow.operators import ingest
+from parcelflow.sources.files import read_or_empty
 from parcelflow.streaming import state_log
 from parcelflow.streaming.lake import Lake, batch_dir
 
@@ -36,18 +36,12 @@ def flag(framed: DataFrame, as_of: Column | None = None, decode: Callable[[DataF
     )
 
 
-def deduplicated(
-    events: DataFrame, delay: str = S.WATERMARK_DELAY, mode: str = "bounded", collapse_copies: bool = False
-) -> DataFrame:
+def deduplicated(events: DataFrame, delay: str = S.WATERMARK_DELAY, mode: str = "bounded") -> DataFrame:
     """Drops late rows and repeated ids.
 
     ``bounded`` forgets an id once the watermark has passed it by the delay, so an older
     repeat gets through and is removed in Silver. ``exact`` remembers every id for ever.
-    ``collapse_copies`` drops repeats inside each task before the shuffle; use it where a
-    producer sends one event so often that its state partition becomes the bottleneck.
     """
-    if collapse_copies:
-        events = events.mapInPandas(_newest_copies, events.schema)
     marked = events.withWatermark(EVENT_CLOCK, delay)
     if mode == "exact":
         return marked.dropDuplicates([DEDUP_KEY])
@@ -56,12 +50,6 @@ def deduplicated(
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def _newest_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The copy with the latest time of each id: if any copy is in time, that one is."""
-    for pdf in batches:
-        yield pdf.sort_values("event_ts", kind="stable", na_position="first").drop_duplicates(DEDUP_KEY, keep="last")
-
-
 def write_batch(
     batch: DataFrame,
     batch_id: int,
@@ -71,7 +59,8 @@ def write_batch(
     on_metrics: Metrics | None = None,
 ) -> None:
     """One micro-batch to all three tables. Every table gets one directory per batch, so a
-    replay after a failure replaces what the failed attempt left behind."""
+    replay after a failure replaces what the failed attempt left behind. A batch without
+    refused rows writes no dead letters, unless an earlier attempt has left some."""
     spark = batch.sparkSession
     batch.persist()
     try:
@@ -86,14 +75,13 @@ def write_batch(
             .parquet(batch_dir(lake.bronze, batch_id))
         )
         refused_rows = ingest.reject(batch).select(*S.EVENT_COLUMNS, "reject_reason", "raw")
-        (
-            refused_rows.observe(refused, F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite")
-            .parquet(batch_dir(lake.dead_letters, batch_id))
-        )
+        letters = batch_dir(lake.dead_letters, batch_id)
+        has_refused = not refused_rows.isEmpty()
+        if has_refused or not read_or_empty(spark, letters, refused_rows.schema).isEmpty():
+            refused_rows.observe(refused, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(letters)
         state_log.apply_batch(bronze, lake, batch_id)
         if on_metrics:
-            on_metrics(batch_id, {"bronze": stored.get["rows"], "dead_letters": refused.get["rows"]})
+            on_metrics(batch_id, {"bronze": stored.get["rows"], "dead_letters": refused.get["rows"] if has_refused else 0})
     finally:
         batch.unpersist()
 
@@ -106,7 +94,6 @@ def start(
     as_of: Column | None = None,
     delay: str = S.WATERMARK_DELAY,
     mode: str = "bounded",
-    collapse_copies: bool = False,
     decode: Callable[[DataFrame], DataFrame] | None = None,
     available_now: bool = False,
     on_metrics: Metrics | None = None,
@@ -116,7 +103,7 @@ def start(
     ``weather`` is called per batch, so a refreshed weather table is picked up. ``as_of``
     replaces the current time in the check for events of the future.
     """
-    events = deduplicated(flag(framed, as_of, decode), delay, mode, collapse_copies)
+    events = deduplicated(flag(framed, as_of, decode), delay, mode)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, batch_id, lake, weather, as_of, on_metrics)

@@ -50,12 +50,19 @@ def apply_batch(events: DataFrame, lake: Lake, batch_id: int) -> None:
 
 
 def compact(spark: SparkSession, lake: Lake) -> None:
-    """Folds all finished batches into one snapshot; run while no batch is being written.
+    """Folds all batches below the newest into one snapshot.
 
-    The mark is written last, so a snapshot that was cut short is never read.
+    The ingest writes one batch after another, so every batch below the newest is finished, while that one may still
+    be being written: it stays in the log. The mark is written last, so a snapshot that was cut short is never read.
     """
-    upto = read_or_empty(spark, lake.changes, T.StructType([*S.STATE_SCHEMA, BATCH])).agg(F.max("batch_id")).first()[0]
-    if upto is None:
+    ids = read_or_empty(spark, lake.changes, T.StructType([*S.STATE_SCHEMA, BATCH])).select("batch_id").distinct()
+    # Two numbers: the newest batch and the one before it.
+    newest = [r["batch_id"] for r in ids.orderBy(F.desc("batch_id")).limit(2).collect()]
+    if len(newest) < 2:
         return
-    current_state(spark, lake).write.mode("overwrite").parquet(f"{lake.snapshots}/upto={upto}")
+    upto = newest[1]
+    if not read_or_empty(spark, lake.snapshot_marks, MARKS).filter(F.col("upto") >= upto).isEmpty():
+        return  # folded already; that snapshot may be in use
+    before = state_ops.latest(rows_before(spark, lake, newest[0]))
+    before.write.mode("overwrite").parquet(f"{lake.snapshots}/upto={upto}")
     spark.createDataFrame([(upto,)], MARKS).coalesce(1).write.mode("append").parquet(lake.snapshot_marks)
