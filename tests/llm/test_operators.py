@@ -143,6 +143,36 @@ def test_long_fingerprints_find_near_copies(spark):
     assert awkward_rows.count() == awkward(spark).count()
 
 
+def test_near_copies_are_decided_by_their_shingles(monkeypatch, spark):
+    """Pairs at every similarity around 0.8, a chain and a dense group give the components of the exact pairs."""
+    noise = random.Random(8)
+    word = lambda: "".join(noise.choice("abcdefghij") for _ in range(6))
+    texts = [None, "", " ", "one two", "ONE  two", "one two three four five six seven eight nine", "x " * 400, "x " * 300]
+    for i in range(120):
+        base = [word() for _ in range(noise.randint(150, 400))]
+        cut = int(len(base) * (0.70 + 0.002 * i))  # 0.70 to 0.94
+        texts += [" ".join(base), " ".join(base[:cut])]
+    base = [word() for _ in range(300)]
+    texts += [" ".join(base[k * 20 : k * 20 + 160]) for k in range(8)]  # neighbours at 0.77
+    texts += [" ".join(base[:k] + [word()] + base[k + 1 :]) for k in range(0, 300, 7)]
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    want = by_parts(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (512, 5):
+        monkeypatch.setattr(simhash, "SET_CHUNK", chunk)
+        got = {r.doc_id: r.component_id for r in simhash.jaccard_groups(docs).collect()}
+        assert all(want[i] == want[c] for i, c in got.items())  # no false link
+        assert sum(got[i] != want[i] for i in got) <= 2
+    assert simhash.jaccard_groups(awkward(spark)).count() == awkward(spark).count()
+    assert simhash.jaccard_groups(docs.limit(0)).count() == 0
+
+
 def test_decontamination(spark):
     noise = random.Random(2)
     items = [("".join(noise.choice("abcde ") for _ in range(n))) for n in (60, 90, 150, 14)]

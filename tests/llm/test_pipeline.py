@@ -50,6 +50,20 @@ def test_stages(spark, scratch):
     assert corpus_pipeline.run(spark, SF).count() == len(clean)
 
 
+def test_near_dedup_stage_against_all_pairs(spark):
+    """The smallest id of each group by exact similarity stays, on the whole documents table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    sets = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in texts.items()}
+    alike = [(i, j) for i in sets for j in sets if j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    least = {i: i for i in sets}
+    for _ in sets:
+        for i, j in alike:
+            least[i] = least[j] = min(least[i], least[j])
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in sets if least[i] == i)
+
+
 def test_stages_on_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
