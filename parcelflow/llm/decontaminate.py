@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelflow.llm.common import row_key
+
 #: Share of an item's code points that may differ.
 ERROR_RATE = 0.08
 #: Code points of test items that a task holds at once; more items are searched in further blocks.
@@ -125,15 +127,18 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rate: float = ERROR_RATE,
+    digest: bool = False,
 ) -> DataFrame:
     """Pairs ``(id, item, edits)``: items that occur in whole texts within ``rate`` times their length in edits.
 
     ``edits`` is the least distance to any substring near a piece hit. Both sides are normalised. The test set is
     searched in blocks of bounded size, each held by the tasks as an automaton; texts are never shuffled. Null or
     blank items and texts match nothing. Each text row gives its own pairs, also where ids repeat or are null; equal
-    items count once. Empty tables give no rows. Other columns are not read.
+    items count once. Empty tables give no rows. Other columns are not read. With ``digest`` the pairs carry the
+    ``row_digest`` of the text too, which tells rows of one id apart.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text"))
+    own = [id_col, "row_digest"] if digest else [id_col]
+    texts = docs.select(F.col(id_col).cast("long").alias(id_col), row_key(id_col, text_col), F.col(text_col).alias("__text"))
 
     def search(block):
         @F.pandas_udf("array<struct<item:long,edits:int>>")
@@ -142,10 +147,10 @@ def find_leaks(
             for column in columns:
                 yield pd.Series([[{"item": n, "edits": e} for n, e in matcher.find(normal(t))] for t in column])
 
-        found = texts.select(id_col, F.explode(run("__text")).alias("hit"))
-        return found.select(id_col, F.col("hit.item").alias(item_col), F.col("hit.edits").alias("edits"))
+        found = texts.select(*own, F.explode(run("__text")).alias("hit"))
+        return found.select(*own, F.col("hit.item").alias(item_col), F.col("hit.edits").alias("edits"))
 
-    found = docs.sparkSession.createDataFrame([], f"{id_col} long, {item_col} long, edits int")
+    found = docs.sparkSession.createDataFrame([], f"{id_col} long, {'row_digest binary, ' * digest}{item_col} long, edits int")
     for block in blocks(items, item_col, item_text_col):
         found = found.union(search(block))
     return found

@@ -64,6 +64,20 @@ def test_near_dedup_stage_against_all_pairs(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in sets if least[i] == i)
 
 
+def test_rows_of_one_or_no_id_are_judged_by_their_texts(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text or "") > 40)
+    long_text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(i, long_text(k)) for i, k in [(None, 1), (None, 2), (None, 2), (7, 3), (7, 4), (None, 4), (9, 5), (8, 5)]]
+    rows += [(i, f"{long_text(k)} {item} {long_text(k + 1)}") for i, k in [(None, 10), (7, 20)]]
+    frame = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.simhash_near_dedup(spark, frame, SF)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    want = sorted(set(rows) - {(None, long_text(4)), (9, long_text(5))}, key=repr)
+    assert got == want and kept.columns == frame.columns
+    clean = corpus_pipeline.benchmark_decontamination(spark, frame, SF)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted(rows[:-2], key=repr)
+
+
 def test_stages_on_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
