@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from parcelflow.llm.common import components, group_bounds, paired_chunks, stored, whole_groups
 
-#: Blocks of the product code, filters that a vector passes on average, rows of a chunk.
-BLOCKS, PASSED, CHUNK = 4, 32, 512
+#: Blocks of the product code, rows of a chunk.
+BLOCKS, CHUNK = 4, 512
+#: Least filters of a vector, share of pairs exactly at the limit that must have one in common, simulated pairs.
+PASSED, RECALL, PAIRS = 32, 0.99, 1000
 
 
 class CapFilters:
     """Random product code: a filter is one code vector from each block of a randomly turned space.
 
-    A vector passes the ``PASSED`` filters whose directions it exceeds the most: the cut is its own, so vectors with
-    uneven blocks pass as many as others.
+    A vector passes the filters whose directions it exceeds the most: the cut is its own, so vectors with uneven blocks
+    pass as many as others. How many follows from the cosine limit and the number of filters: as many as ``RECALL`` of
+    simulated pairs with a cosine of ``least`` need to share one, so lists grow with the table and the recall stays.
     """
 
-    def __init__(self, width: int, rows: int, seed: int = 7):
+    def __init__(self, width: int, rows: int, least: float = 0.9, seed: int = 7, length: int | None = None):
         import numpy as np
 
         draw = np.random.default_rng(seed)
@@ -30,6 +33,25 @@ class CapFilters:
         self.codes = min(200, max(16, int(np.ceil((4 * max(1, rows)) ** (1 / BLOCKS)))))
         book = draw.standard_normal((BLOCKS, self.codes, self.part))
         self.book = book / np.linalg.norm(book, axis=2, keepdims=True)
+        self.length = self.needed(least, draw) if length is None else length
+
+    def needed(self, least: float, draw) -> int:
+        """Length of lists with which ``RECALL`` of pairs at ``least`` have a filter in common."""
+        import numpy as np
+
+        x, y = pairs_at(least, PAIRS, self.width, draw)
+        length = 2 * PASSED
+        while True:
+            need = []
+            for a, b in zip(self.best(x, length), self.best(y, length)):
+                _, i, j = np.intersect1d(a, b, return_indices=True)
+                need.append(np.maximum(i, j).min() + 1 if len(i) else 2 * length)
+            found = int(np.quantile(need, RECALL, method="higher"))
+            if found <= length:
+                return max(PASSED, found)
+            if length == self.codes**BLOCKS:
+                return length
+            length = min(2 * length, self.codes**BLOCKS)
 
     def scores(self, unit):
         """Products with the code pairs of the first and the last half of the blocks."""
@@ -40,20 +62,45 @@ class CapFilters:
         pair = lambda a, b: (s[:, a, :, None] + s[:, b, None, :]).reshape(len(unit), -1)
         return pair(0, 1), pair(2, 3)
 
-    def passed(self, unit):
-        """Sorted filter numbers of each vector, by list decoding: the best sums come from the best of either half."""
+    def best(self, unit, length: int):
+        """The ``length`` best filters of each vector, best first, by list decoding.
+
+        The r-th best sum has its halves at places whose product is at most r, so only those are added up.
+        """
         import numpy as np
 
         out = []
-        for at in range(0, len(unit), 512):
-            left, right = self.scores(unit[at : at + 512])
-            count = min(PASSED, left.shape[1])
-            i, j = (np.argpartition(x, -count, axis=1)[:, -count:] for x in (left, right))
-            sums = np.take_along_axis(left, i, 1)[:, :, None] + np.take_along_axis(right, j, 1)[:, None, :]
-            best = np.argpartition(sums.reshape(len(sums), -1), -count, axis=1)[:, -count:]
-            u, v = np.take_along_axis(i, best // count, 1), np.take_along_axis(j, best % count, 1)
-            out.append(np.sort(u * right.shape[1] + v, axis=1))
-        return np.concatenate(out) if out else np.zeros((0, PASSED), np.int64)
+        for at in range(0, len(unit), 128):
+            for left, right in zip(*self.scores(unit[at : at + 128])):
+                count = min(length, len(left))
+                i, j = (np.argpartition(x, -count)[-count:] for x in (left, right))
+                i, j = i[np.argsort(-left[i])], j[np.argsort(-right[j])]
+                upto = np.minimum(length // np.arange(1, count + 1), count)
+                u = np.repeat(np.arange(count), upto)
+                v = np.arange(upto.sum()) - np.repeat(np.cumsum(upto) - upto, upto)
+                sums = left[i[u]] + right[j[v]]
+                top = np.argsort(-sums)[:length]
+                out.append(i[u[top]] * len(right) + j[v[top]])
+        return out
+
+    def passed(self, unit):
+        """Sorted filter numbers of each vector."""
+        import numpy as np
+
+        return [np.sort(x) for x in self.best(unit, self.length)]
+
+
+def pairs_at(cosine: float, count: int, width: int, draw):
+    """Random unit vectors in two arrays; those of a row have the given cosine (or are equal in one dimension)."""
+    import numpy as np
+
+    x, z = draw.standard_normal((2, count, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if width < 2:
+        return x, x
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * z
 
 
 def cosine_links(classes: DataFrame, width: int, rows: int, least: float, single: bool) -> DataFrame:
@@ -64,11 +111,12 @@ def cosine_links(classes: DataFrame, width: int, rows: int, least: float, single
     """
 
     kind = "float32" if single else "float64"
+    length = CapFilters(width, rows, least).length if width else PASSED
 
     def code(batches):
         import numpy as np
 
-        filters = CapFilters(width, rows)
+        filters = CapFilters(width, rows, least, length=length)
         for b in batches:
             for at in range(0, len(b), 2048):
                 part = b.iloc[at : at + 2048]

@@ -286,6 +286,18 @@ def test_vectors(monkeypatch, spark):
     assert vectors.vector_groups(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [10**3, 10**5, 10**7, 10**8])
+def test_filters_keep_their_recall(rows):
+    """Of pairs at the limit and just above it, hardly any lacks a common filter, whatever the number of filters."""
+    filters = vectors.CapFilters(64, rows)
+    for cosine in (0.9, 0.92):
+        x, y = vectors.pairs_at(cosine, 300, 64, np.random.default_rng(11))
+        lists = [filters.passed(v) for v in (x, y)]
+        met = sum(len(np.intersect1d(a, b)) > 0 for a, b in zip(*lists))
+        print(rows, filters.codes, filters.length, cosine, met / 300, np.mean([len(v) for v in lists[0]]))
+        assert met >= 0.97 * 300
+
+
 def test_substrings(monkeypatch, spark):
     passage = " ".join(f"w{i}" for i in range(50))
     rows = [(i, f"start{i} {passage} end{i} {'a b ' * 30}") for i in range(9)] + [(20, f"{passage}\n{passage}"), (21, "z " * 80)]
