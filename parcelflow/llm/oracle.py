@@ -1,6 +1,22 @@
 """SQL twins of the training-data queries, for an independent engine over the same tables."""
 
+from parcelflow.llm.secret_scan import BASE_RULES, RULES
+
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def rule_matches(number: int, rule) -> str:
+    """Matches of one rule of the secret scan, with the gaps before them."""
+    pattern = quoted(rule.pattern)
+    return f"""SELECT doc_id, {number} AS rule, {quoted(rule.kind)} AS kind, {rule.least} AS least,
+           regexp_extract_all(text, {pattern}, 0) AS whole, regexp_extract_all(text, {pattern}, {rule.group}) AS secret,
+           string_split_regex(text, {pattern}) AS gaps FROM texts WHERE regexp_matches(text, {pattern})"""
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
@@ -63,5 +79,31 @@ WITH split AS (
 SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op11_secret_scan": f"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text FROM documents
+), found AS (
+    {" UNION ALL ".join(rule_matches(n, r) for n, r in enumerate(RULES))}
+), numbered AS (
+    SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM found
+), placed AS (
+    SELECT doc_id, rule, kind, least, secret[i] AS secret, length(whole[i]) AS size,
+           list_sum(list_transform(gaps[:i], lambda x: length(x)))
+               + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0) AS start
+    FROM numbered
+), spans AS (
+    SELECT doc_id, rule, kind, start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span,
+           kind IN ({", ".join(quoted(r.kind) for r in BASE_RULES)}) AS base
+    FROM placed WHERE length(secret) >= least
+), told AS (
+    SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)},
+           string_agg(span, ',' ORDER BY start, rule) FILTER (base) AS base,
+           string_agg(span, ',' ORDER BY start, rule) AS spans
+    FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"coalesce(t.n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)},
+       sha256(coalesce(t.base, '')) AS base_sha256, coalesce(t.spans, '') AS spans
+FROM documents d LEFT JOIN told t ON d.doc_id = t.doc_id
 """,
 }

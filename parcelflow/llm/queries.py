@@ -11,6 +11,7 @@ from parcelflow.llm.language import identify
 from parcelflow.llm.line_dedup import dedup_lines
 from parcelflow.llm.quality import classify
 from parcelflow.llm.quotes import as_mail, chat_lines, link_quotes
+from parcelflow.llm.secret_scan import find_secrets, span_digest
 from parcelflow.llm.sentencepiece_bpe import tokenize
 from parcelflow.llm.simhash import simhash_groups
 from parcelflow.llm.substring_dedup import dedup_substrings
@@ -77,6 +78,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, table(spark, sf_dir, "labels"), keep_text=False)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every rule in every whole text; the base kinds are counted and digested apart."""
+    return span_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline, whose module lies at the top of the repository."""
     import corpus_pipeline
@@ -95,5 +101,6 @@ QUERIES = {
     "op8_quotation_linking": op8_quotation_linking,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_secret_scan": op11_secret_scan,
     "pipeline": pipeline,
 }
