@@ -17,6 +17,23 @@ def rule_matches(number: int, rule) -> str:
            string_split_regex(text, {pattern}) AS gaps FROM texts WHERE regexp_matches(text, {pattern})"""
 
 
+
+
+def clustering_round(n: int) -> str:
+    """Centers after one more round of the centroid clustering."""
+    return f"""m{n} AS MATERIALIZED (
+    SELECT vec_id, v, min({SQUARED} * 8 + c) AS best FROM kept CROSS JOIN c{n - 1} GROUP BY vec_id, v
+), s{n} AS (
+    SELECT best % 8 AS c, i, sum(x) AS s, count(*) AS n
+    FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM m{n}) GROUP BY 1, 2
+), f{n} AS (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS w FROM s{n} GROUP BY c
+), c{n} AS MATERIALIZED (
+    SELECT o.c, coalesce(f.w::BIGINT[], o.w) AS w FROM c{n - 1} o LEFT JOIN f{n} f ON o.c = f.c
+)"""
+
+
+SQUARED = "list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
@@ -105,5 +122,21 @@ WITH texts AS (
 SELECT d.doc_id, {", ".join(f"coalesce(t.n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)},
        sha256(coalesce(t.base, '')) AS base_sha256, coalesce(t.spans, '') AS spans
 FROM documents d LEFT JOIN told t ON d.doc_id = t.doc_id
+""",
+    "op12_centroid_clustering": f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS w FROM kept
+    QUALIFY c < 8
+), {", ".join(clustering_round(n) for n in range(1, 11))}, assigned AS (
+    SELECT vec_id, min({SQUARED} * 8 + c) AS best FROM kept CROSS JOIN c10 GROUP BY vec_id
+), told AS (
+    SELECT vec_id, (best % 8)::INTEGER AS cluster, (best // 8)::BIGINT AS distance FROM assigned
+)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM told JOIN c10 ON c = cluster
 """,
 }

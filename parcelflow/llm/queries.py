@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.llm.common import new_path, table
 from parcelflow.llm.decontaminate import find_leaks
+from parcelflow.llm.kmeans import center_digest, cluster
 from parcelflow.llm.language import identify
 from parcelflow.llm.line_dedup import dedup_lines
 from parcelflow.llm.quality import classify
@@ -83,6 +84,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return center_digest(cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline, whose module lies at the top of the repository."""
     import corpus_pipeline
@@ -102,5 +107,6 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
     "op11_secret_scan": op11_secret_scan,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "pipeline": pipeline,
 }

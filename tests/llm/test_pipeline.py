@@ -90,5 +90,5 @@ def test_oracle(spark, name):
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 14))
     assert "pipeline" in QUERIES
