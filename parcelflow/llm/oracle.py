@@ -34,6 +34,36 @@ def clustering_round(n: int) -> str:
 
 
 SQUARED = "list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def edit(letter: str, cost: str, rest: str, line: str = "''") -> str:
+    """A path of repairs that begins with one edit; paths compare by cost, then letters."""
+    return f"{{'c': {rest}.c + {cost}, 'a': '{letter}' || {rest}.a, 'o': {line} || {rest}.o}}"
+
+
+FOLLOWS = {"n": "u", "s": "u", "u": "a", "a": "u"}
+NAMES = {"u": "user", "a": "assistant"}
+
+
+def own_edits(state: str) -> str:
+    """The cheapest path from a state before a row, if nothing is inserted right there."""
+    then = FOLLOWS[state]
+    text = "r.role || ':' || r.text"
+    keeps = [f"WHEN r.initial = '{then}' THEN {edit('K', 'r.cut', f'w.{then}', f'chr(10) || {text}')}"]
+    if state == "n":
+        keeps.append(f"WHEN r.initial = 's' THEN {edit('K', 'r.cut', 'w.s', f'chr(10) || {text}')}")
+    rerole = edit("R", "2 + r.cut", f"w.{then}", f"chr(10) || '{NAMES[then]}:' || r.text")
+    return (
+        f"least({edit('D', '3', f'w.{state}')}, CASE WHEN NOT r.gone THEN CASE {' '.join(keeps)} END END, "
+        f"CASE WHEN NOT r.gone THEN {rerole} END) AS {state}"
+    )
+
+
+def with_insert(state: str) -> str:
+    then = FOLLOWS[state]
+    return f"least({state}, {edit('I', '2', then, f'chr(10) || {quoted(NAMES[then])} || {quoted(chr(58))}')}) AS {state}"
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
@@ -138,5 +168,53 @@ WITH kept AS MATERIALIZED (
 SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
        (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
 FROM told JOIN c10 ON c = cluster
+""",
+    "op13_conversation_repair": f"""
+WITH RECURSIVE told AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS letters
+    FROM conversations
+), bits AS (
+    SELECT *, list_prepend(4294967295::BIGINT, flatten(list_transform(letters,
+        lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))) AS steps FROM told
+), kinds AS (
+    SELECT *, xor(list_reduce(steps, lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 20 AS kind
+    FROM bits
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM kinds
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+           left(role, 1) AS initial, trim(text, {BLANKS}) AS bare FROM damaged
+), judged AS (
+    SELECT *, CASE WHEN bare = '' THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+    FROM placed
+), numbered AS (
+    SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS cut FROM judged
+), walk AS (
+    SELECT conv_id, max(i) + 1 AS i, {{'c': 0, 'a': '', 'o': ''}} AS n,
+           {{'c': 4, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s,
+           {{'c': 2, 'a': 'I', 'o': chr(10) || 'assistant:'}} AS u, {{'c': 0, 'a': '', 'o': ''}} AS a
+    FROM numbered GROUP BY conv_id
+    UNION ALL
+    SELECT conv_id, i, {", ".join(map(with_insert, FOLLOWS))} FROM (
+        SELECT r.conv_id, r.i, {", ".join(map(own_edits, FOLLOWS))}
+        FROM walk w JOIN numbered r ON r.conv_id = w.conv_id AND r.i = w.i - 1
+    )
+), figures AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           {", ".join(f"count(*) FILTER (fault = '{f}') AS {f}" for f in ("blank", "duplicate", "truncated"))},
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM numbered GROUP BY conv_id
+)
+SELECT o.conv_id, {", ".join(f"coalesce(f.{c}, 0)::BIGINT AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+       coalesce(w.n.c, 0)::BIGINT AS cost, coalesce(w.n.a, '') AS audit, sha256(coalesce(substr(w.n.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN figures f ON o.conv_id = f.conv_id LEFT JOIN walk w ON o.conv_id = w.conv_id AND w.i = 1
 """,
 }

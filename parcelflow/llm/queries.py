@@ -12,6 +12,7 @@ from parcelflow.llm.language import identify
 from parcelflow.llm.line_dedup import dedup_lines
 from parcelflow.llm.quality import classify
 from parcelflow.llm.quotes import as_mail, chat_lines, link_quotes
+from parcelflow.llm.repair import repair_report
 from parcelflow.llm.secret_scan import find_secrets, span_digest
 from parcelflow.llm.sentencepiece_bpe import tokenize
 from parcelflow.llm.simhash import simhash_groups
@@ -88,6 +89,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return center_digest(cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline, whose module lies at the top of the repository."""
     import corpus_pipeline
@@ -108,5 +113,6 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_secret_scan": op11_secret_scan,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }
