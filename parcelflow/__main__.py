@@ -12,8 +12,9 @@ from parcelflow.operators import live, warehouse
 from parcelflow.plans import jobs
 from parcelflow.session import build_session
 from parcelflow.sources import files, kafka
-from parcelflow.streaming import alerts, ingest, state_log
+from parcelflow.streaming import alerts, ingest
 from parcelflow.streaming.lake import Lake
+from parcelflow.streaming.state_store import StateStore
 
 MARTS = ["gold_delivery_funnel", "gold_on_time_by_region", "gold_failure_analysis", "gold_weather_impact"]
 
@@ -22,7 +23,7 @@ def _arguments() -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="parcelflow")
     parser.add_argument(
         "job",
-        choices=["ingest", "alerts", "compact", "weather", "silver", "warehouse", "overdue", "live", "history"],
+        choices=["ingest", "alerts", "compact", "weather", "silver", "warehouse", "overdue", "live", "history", "parcel"],
     )
     parser.add_argument("--lake", required=True, help="root folder of the lake")
     parser.add_argument("--accel", type=float, default=S.TIME_ACCELERATION, help="simulated seconds per second")
@@ -32,6 +33,8 @@ def _arguments() -> argparse.Namespace:
     parser.add_argument("--exact-dedup", action="store_true", help="remember every event id for ever")
     parser.add_argument("--available-now", action="store_true", help="stop when the input is used up")
     parser.add_argument("--sla", choices=S.SLA_CLASSES, help="only this class in the worklist")
+    parser.add_argument("--id", help="parcel of the detail view")
+    parser.add_argument("--buckets", type=int, default=64, help="state buckets of a new lake")
     parser.add_argument("--limit", type=int, default=200, help="rows of the worklist")
     return parser.parse_args()
 
@@ -48,13 +51,14 @@ def _ingest(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
         mode="exact" if args.exact_dedup else "bounded",
         decode=decode,
         available_now=args.available_now,
+        buckets=args.buckets,
         on_metrics=lambda batch, counts: print(f"batch {batch}: {counts}", flush=True),
     ).awaitTermination()
 
 
 def _live(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
     question = {
-        "state": state_log.current_state(spark, lake),
+        "state": jobs.current_state(spark, lake),
         "parcels": warehouse.stg_parcels(files.read_parcels(spark, lake.parcels)),
         "as_of": F.current_timestamp(),
         "accel": args.accel,
@@ -67,6 +71,12 @@ def _live(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
     live.worklist(**question, sla=args.sla, limit=args.limit).show(args.limit, truncate=False)
 
 
+def _parcel(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
+    state = StateStore(spark, lake.state).lookup(args.id)
+    parcels = warehouse.stg_parcels(files.read_parcels(spark, lake.parcels))
+    live.parcel_detail(state, parcels, args.id, F.current_timestamp(), args.accel).show(vertical=True, truncate=False)
+
+
 def main() -> None:
     args = _arguments()
     lake = Lake(args.lake)
@@ -82,7 +92,7 @@ def main() -> None:
             available_now=args.available_now,
         ).awaitTermination()
     elif args.job == "compact":
-        state_log.compact(spark, lake)
+        print(StateStore(spark, lake.state).vacuum(), "old state folders removed")
     elif args.job == "weather":
         jobs.refresh_weather(spark, lake, args.inbox)
     elif args.job == "silver":
@@ -94,6 +104,8 @@ def main() -> None:
         print(jobs.send_overdue(spark, lake, accel=args.accel), "alerts stored in", lake.alerts)
     elif args.job == "live":
         _live(spark, lake, args)
+    elif args.job == "parcel":
+        _parcel(spark, lake, args)
     elif args.job == "history":
         for name in MARTS:
             mart = spark.read.parquet(lake.mart(name))

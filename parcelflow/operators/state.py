@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,15 @@ def latest(events: DataFrame) -> DataFrame:
     return best.select("parcel_id", "best.*")
 
 
-def merge(state: DataFrame, events: DataFrame) -> DataFrame:
+def merge(state: DataFrame, events: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """State after ``events``, with ``changed`` telling the rows that were written.
 
     An event wins only with a strictly higher version than the stored one; among events
     the largest tuple wins. Ranking the stored row above events of its own version makes
-    the latest-of-batch and the merge a single aggregation with one shuffle.
+    the latest-of-batch and the merge a single aggregation with one shuffle. ``carry`` names
+    further columns of both inputs that the winning row keeps.
     """
-    fields = [F.col(c) for c in S.STATE_FIELDS[1:]]
+    fields = [F.col(c) for c in (*S.STATE_FIELDS[1:], *carry)]
 
     def ranked(frame: DataFrame, stored: int) -> DataFrame:
         rank = F.struct(F.col("version"), F.lit(stored).alias(_STORED), *fields)
@@ -40,7 +43,7 @@ def merge(state: DataFrame, events: DataFrame) -> DataFrame:
     )
     return best.select(
         "parcel_id",
-        *[f"best.{c}" for c in S.STATE_FIELDS],
+        *[f"best.{c}" for c in (*S.STATE_FIELDS, *carry)],
         (F.col(f"best.{_STORED}") == 0).alias("changed"),
     )
 

@@ -15,6 +15,7 @@ from parcelflow.sources import files
 from parcelflow.streaming import state_log
 from parcelflow.streaming.alerts import ALERT_SCHEMA, sent_alerts
 from parcelflow.streaming.lake import Lake, batch_dir
+from parcelflow.streaming.state_store import StateStore
 
 
 def build_silver(spark: SparkSession, lake: Lake) -> None:
@@ -109,6 +110,12 @@ def check_warehouse(spark: SparkSession) -> DataFrame:
     return report
 
 
+def current_state(spark: SparkSession, lake: Lake) -> DataFrame:
+    """State of the bucketed store; of the change log while a lake written before the store has no batch in it."""
+    store = StateStore(spark, lake.state)
+    return state_log.current_state(spark, lake) if store.newest() is None else store.current()
+
+
 def overdue_alerts(
     spark: SparkSession, lake: Lake, as_of: Column | None = None, accel: float = S.TIME_ACCELERATION
 ) -> DataFrame:
@@ -116,7 +123,7 @@ def overdue_alerts(
     parcels = warehouse.stg_parcels(files.read_parcels(spark, lake.parcels))
     now = F.current_timestamp() if as_of is None else as_of
     return alert_ops.overdue(
-        state_log.current_state(spark, lake), parcels, now, sent_alerts(spark, lake), accel
+        current_state(spark, lake), parcels, now, sent_alerts(spark, lake), accel
     )
 
 

@@ -268,6 +268,7 @@ FROM events_raw e LEFT JOIN weather w ON e.hub_id = w.hub_id""",
     "gold_weather_impact": _with("silver") + GOLD_WEATHER,
     "current_state": _with("state") + "SELECT * FROM state",
     "upsert_state": _with("merged") + "SELECT * FROM merged",
+    "upsert_state_bucketed": _with("merged") + "SELECT * FROM merged",
     "alerts": _with("merged", "stg_parcels")
     + f"""SELECT parcel_id, status, breached, 'parcelflow alert: ' || parcel_id AS subject,
     'Parcel ' || parcel_id || ': status=' || status || ', breached=' || if(breached, 'True', 'False') || '.' AS message
@@ -291,6 +292,7 @@ FROM state""",
     "live_parcels_meta": _with("state") + "SELECT count(*) AS total, least(count(*), 200) AS shown FROM state",
     "live_map": _with("viewed") + "SELECT parcel_id, lat, lon, status, sla FROM viewed WHERE lat IS NOT NULL AND lon IS NOT NULL",
     "parcel_detail": _with("viewed") + f"SELECT {VIEW} FROM viewed WHERE parcel_id = 'P77'",
+    "parcel_detail_stored": _with("viewed") + f"SELECT {VIEW} FROM viewed WHERE parcel_id = 'P77'",
     "haversine_km": _with("events", "hubs")
     + f"""SELECT event_id, round({_KM.format(lat2="hlat", lon2="hlon")}, 6) AS km
 FROM events_raw LEFT JOIN hubs ON id = hub_id""",

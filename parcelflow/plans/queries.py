@@ -15,7 +15,8 @@ from parcelflow.functions.geo import sla_hours as hours_of
 from parcelflow.operators import alerts as alert_ops
 from parcelflow.operators import ingest, lifecycle, live, quality, silver, state, warehouse, weather
 from parcelflow.plans import pipeline
-from parcelflow.sources import sample
+from parcelflow.sources import sample, storage
+from parcelflow.streaming.state_store import StateStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,6 +171,22 @@ def upsert_state(spark: SparkSession, sf: str) -> DataFrame:
     return _merged(spark, sf)
 
 
+def _store(spark: SparkSession, *batches: DataFrame) -> StateStore:
+    """A bucketed store in the shared folder, after some batches of events."""
+    store = StateStore(spark, storage.scratch_folder(spark, "state"), buckets=16)
+    for number, events in enumerate(batches):
+        store.apply(events, number)
+    return store
+
+
+@_query
+def upsert_state_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """``upsert_state`` through the stored buckets: even versions are one batch, odd ones the next."""
+    scans = _scans(spark, sf)
+    store = _store(spark, scans.filter(F.col("version") % 2 == 0), scans.filter(F.col("version") % 2 != 0))
+    return store.read().select(*S.STATE_COLUMNS, (F.col("changed_in") == 1).alias("changed"))
+
+
 @_query
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     changed = _merged(spark, sf).filter("changed").select("parcel_id", "status")
@@ -231,6 +248,13 @@ def parcel_detail(spark: SparkSession, sf: str) -> DataFrame:
     return live.parcel_detail(**_live(spark, sf), parcel_id="P77")
 
 
+@_query
+def parcel_detail_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """``parcel_detail`` from the stored buckets: only the files of the parcel's bucket are read."""
+    found = {**_live(spark, sf), "state": _store(spark, _scans(spark, sf)).lookup("P77")}
+    return live.parcel_detail(**found, parcel_id="P77")
+
+
 # --- geography --------------------------------------------------------------
 
 

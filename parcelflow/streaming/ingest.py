@@ -13,6 +13,7 @@ from parcelflow.operators import ingest
 from parcelflow.sources.files import read_or_empty
 from parcelflow.streaming import state_log
 from parcelflow.streaming.lake import Lake, batch_dir
+from parcelflow.streaming.state_store import StateStore
 
 DEDUP_KEY = "dedup_key"
 #: The event time where the clock allows it: one event dated far ahead must not make all others late.
@@ -57,6 +58,7 @@ def write_batch(
     weather: Callable[[SparkSession], DataFrame | None],
     as_of: Column | None = None,
     on_metrics: Metrics | None = None,
+    buckets: int = 64,
 ) -> None:
     """One micro-batch to all three tables. Every table gets one directory per batch, so a
     replay after a failure replaces what the failed attempt left behind. A batch without
@@ -79,9 +81,11 @@ def write_batch(
         has_refused = not refused_rows.isEmpty()
         if has_refused or not read_or_empty(spark, letters, refused_rows.schema).isEmpty():
             refused_rows.observe(refused, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(letters)
-        state_log.apply_batch(bronze, lake, batch_id)
+        store = StateStore(spark, lake.state, buckets)
+        upserts = store.apply(bronze, batch_id, lake.changes, lambda: state_log.rows_before(spark, lake, batch_id))
         if on_metrics:
-            on_metrics(batch_id, {"bronze": stored.get["rows"], "dead_letters": refused.get["rows"] if has_refused else 0})
+            counts = {"bronze": stored.get["rows"], "dead_letters": refused.get["rows"] if has_refused else 0}
+            on_metrics(batch_id, {**counts, "upserts": upserts or 0})
     finally:
         batch.unpersist()
 
@@ -97,16 +101,18 @@ def start(
     decode: Callable[[DataFrame], DataFrame] | None = None,
     available_now: bool = False,
     on_metrics: Metrics | None = None,
+    buckets: int = 64,
 ) -> StreamingQuery:
     """Starts the ingest query on a stream of framed values.
 
     ``weather`` is called per batch, so a refreshed weather table is picked up. ``as_of``
-    replaces the current time in the check for events of the future.
+    replaces the current time in the check for events of the future. ``buckets`` is the number of state buckets
+    of a new lake: a bucket should hold some hundred megabytes at most.
     """
     events = deduplicated(flag(framed, as_of, decode), delay, mode)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, batch_id, lake, weather, as_of, on_metrics)
+        write_batch(batch, batch_id, lake, weather, as_of, on_metrics, buckets)
 
     writer = (
         events.writeStream.queryName("ingest")

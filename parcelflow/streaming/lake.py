@@ -23,6 +23,10 @@ class Lake:
     def changes(self) -> str:
         return f"{self.root}/state/changes"
 
+    @property
+    def state(self) -> str:
+        return f"{self.root}/state/store"
+
     @property
     def snapshots(self) -> str:
         return f"{self.root}/state/snapshots"
