@@ -14,6 +14,7 @@ from parcelflow.session import build_session
 from parcelflow.sources import files, kafka
 from parcelflow.streaming import alerts, ingest
 from parcelflow.streaming.lake import Lake
+from parcelflow.streaming.progress import ProgressLog
 from parcelflow.streaming.state_store import StateStore
 
 MARTS = ["gold_delivery_funnel", "gold_on_time_by_region", "gold_failure_analysis", "gold_weather_impact"]
@@ -31,6 +32,7 @@ def _arguments() -> argparse.Namespace:
     parser.add_argument("--topic", default="parcel.events")
     parser.add_argument("--inbox", help="input folder: Parquet files with a binary value, or weather responses")
     parser.add_argument("--exact-dedup", action="store_true", help="remember every event id for ever")
+    parser.add_argument("--keep-late", action="store_true", help="store late events with the dead letters")
     parser.add_argument("--available-now", action="store_true", help="stop when the input is used up")
     parser.add_argument("--sla", choices=S.SLA_CLASSES, help="only this class in the worklist")
     parser.add_argument("--id", help="parcel of the detail view")
@@ -40,6 +42,7 @@ def _arguments() -> argparse.Namespace:
 
 
 def _ingest(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
+    spark.streams.addListener(ProgressLog(spark, lake))
     if args.kafka:
         source, decode = kafka.read_topic(spark, args.kafka, args.topic), kafka.decode_avro
     else:
@@ -52,6 +55,7 @@ def _ingest(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
         decode=decode,
         available_now=args.available_now,
         buckets=args.buckets,
+        keep_late=args.keep_late,
         on_metrics=lambda batch, counts: print(f"batch {batch}: {counts}", flush=True),
     ).awaitTermination()
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from parcelflow import schemas as S
 from parcelflow.operators import ingest
-from parcelflow.sources.files import read_or_empty
+from parcelflow.sources.files import BATCH, read_or_empty
 from parcelflow.streaming import state_log
 from parcelflow.streaming.lake import Lake, batch_dir
 from parcelflow.streaming.state_store import StateStore
@@ -18,6 +19,8 @@ from parcelflow.streaming.state_store import StateStore
 DEDUP_KEY = "dedup_key"
 #: The event time where the clock allows it: one event dated far ahead must not make all others late.
 EVENT_CLOCK = "event_clock"
+SALT, LATE = "dedup_salt", "second_copy"
+CLOCKS = T.StructType([T.StructField("clock", T.TimestampType()), BATCH])
 Metrics = Callable[[int, dict[str, int]], None]
 
 
@@ -37,18 +40,65 @@ def flag(framed: DataFrame, as_of: Column | None = None, decode: Callable[[DataF
     )
 
 
-def deduplicated(events: DataFrame, delay: str = S.WATERMARK_DELAY, mode: str = "bounded") -> DataFrame:
+def salted(events: DataFrame, salts: int | None = None) -> DataFrame:
+    """Deals the copies of an id to ``salts`` groups, as many as there are shuffle partitions by default."""
+    count = salts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.withColumn(SALT, F.floor(F.rand() * count).cast("int"))
+
+
+def deduplicated(
+    events: DataFrame, delay: str = S.WATERMARK_DELAY, mode: str = "bounded", salts: int | None = None
+) -> DataFrame:
     """Drops late rows and repeated ids.
 
     ``bounded`` forgets an id once the watermark has passed it by the delay, so an older
     repeat gets through and is removed in Silver. ``exact`` remembers every id for ever.
+
+    Two stateful steps follow each other. The first drops copies within an id's salts, so the copies of a hot id are
+    dealt to many state partitions; the second has one row per id and salt left at most and drops the rest.
     """
-    marked = events.withWatermark(EVENT_CLOCK, delay)
-    if mode == "exact":
-        return marked.dropDuplicates([DEDUP_KEY])
-    if mode == "bounded":
-        return marked.dropDuplicatesWithinWatermark([DEDUP_KEY])
-    raise ValueError(f"unknown mode {mode!r}")
+    if mode not in ("bounded", "exact"):
+        raise ValueError(f"unknown mode {mode!r}")
+    marked = salted(events.withWatermark(EVENT_CLOCK, delay), salts)
+    for keys in ([DEDUP_KEY, SALT], [DEDUP_KEY]):
+        marked = marked.dropDuplicates(keys) if mode == "exact" else marked.dropDuplicatesWithinWatermark(keys)
+    return marked.drop(SALT)
+
+
+def with_all_clocks(kept: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds every event of the input once more, marked ``LATE``, for ``late_rows`` to choose from.
+
+    The input is read and decoded a second time for this; these rows pass no shuffle.
+    """
+    return kept.withColumn(LATE, F.lit(False)).unionByName(events.withColumn(LATE, F.lit(True)))
+
+
+def clock_before(spark: SparkSession, lake: Lake, batch_id: int, delay: str) -> int | None:
+    """The watermark, in milliseconds, by which batch ``batch_id`` drops late rows.
+
+    That is the largest event time of all batches before the last one, less the delay: the watermark moves between two
+    batches, and with several stateful steps late rows are told by the one before it.
+    """
+    clocks = read_or_empty(spark, lake.clocks, CLOCKS).filter(F.col("batch_id") < batch_id - 1)
+    newest = F.max(F.col("clock") - F.expr(f"INTERVAL {delay}"))
+    return clocks.select(F.unix_millis(newest).alias("ms")).first().ms
+
+
+def late_rows(batch: DataFrame, before: int | None) -> tuple[DataFrame, Observation]:
+    """A batch of ``with_all_clocks`` with late rows refused, and without the second copies of all others.
+
+    The observation has the batch's largest event time as ``clock`` once the batch has been computed.
+    """
+    newest = Observation()
+    late = F.lit(False) if before is None else F.coalesce(F.unix_millis(EVENT_CLOCK) <= before, F.lit(False))
+    kept = batch.observe(newest, F.max(EVENT_CLOCK).alias("clock")).filter(~F.col(LATE) | late)
+    reasons = F.concat_ws(",", F.when(F.col("reject_reason") != "", F.col("reject_reason")), F.lit("late"))
+    kept = (
+        kept.withColumn("reject_reason", F.when(F.col(LATE), reasons).otherwise(F.col("reject_reason")))
+        .withColumn("is_valid", F.col("is_valid") & ~F.col(LATE))
+        .drop(LATE)
+    )
+    return kept, newest
 
 
 def write_batch(
@@ -102,17 +152,30 @@ def start(
     available_now: bool = False,
     on_metrics: Metrics | None = None,
     buckets: int = 64,
+    keep_late: bool = False,
 ) -> StreamingQuery:
     """Starts the ingest query on a stream of framed values.
 
     ``weather`` is called per batch, so a refreshed weather table is picked up. ``as_of``
     replaces the current time in the check for events of the future. ``buckets`` is the number of state buckets
     of a new lake: a bucket should hold some hundred megabytes at most.
+
+    Rows later than the watermark are dropped and counted in the query's progress. With ``keep_late`` they go to the
+    dead letters with the reason ``late``, which takes a second look at the input.
     """
-    events = deduplicated(flag(framed, as_of, decode), delay, mode)
+    flagged = flag(framed, as_of, decode)
+    events = deduplicated(flagged, delay, mode)
+    if keep_late:
+        events = with_all_clocks(events, flagged)
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        if not keep_late:
+            write_batch(batch, batch_id, lake, weather, as_of, on_metrics, buckets)
+            return
+        batch, newest = late_rows(batch, clock_before(batch.sparkSession, lake, batch_id, delay))
         write_batch(batch, batch_id, lake, weather, as_of, on_metrics, buckets)
+        row = batch.sparkSession.createDataFrame([(newest.get["clock"],)], T.StructType([CLOCKS["clock"]]))
+        row.coalesce(1).write.mode("overwrite").parquet(batch_dir(lake.clocks, batch_id))
 
     writer = (
         events.writeStream.queryName("ingest")

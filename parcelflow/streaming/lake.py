@@ -51,6 +51,14 @@ class Lake:
     def alerts(self) -> str:
         return f"{self.root}/alerts"
 
+    @property
+    def clocks(self) -> str:
+        return f"{self.root}/clocks"
+
+    @property
+    def progress(self) -> str:
+        return f"{self.root}/progress"
+
     def mart(self, name: str) -> str:
         return f"{self.root}/warehouse/{name}"
 

@@ -15,6 +15,7 @@ from parcelflow.plans import jobs
 from parcelflow.sources import files
 from parcelflow.streaming import alerts, ingest, state_log
 from parcelflow.streaming.lake import Lake
+from parcelflow.streaming.progress import ProgressLog, read_progress
 
 T0 = datetime(2024, 5, 1, 12, 0, 0)
 
@@ -278,3 +279,47 @@ def test_every_row_is_stored_or_refused(spark, scratch):
     stored, refused = spark.read.parquet(lake.bronze).count(), spark.read.parquet(lake.dead_letters).count()
     assert stored + refused == 402 + 400
     assert spark.read.parquet(lake.dead_letters).filter("reject_reason = 'decode'").count() == 2
+
+
+def test_late_rows_are_counted_and_stored(spark, scratch):
+    """Rows on both sides of the watermark: each one is in Bronze or among the late letters, and the count agrees."""
+    import time
+
+    lake, inbox = Lake(f"{scratch}/lake"), f"{scratch}/in"
+    listener = ProgressLog(spark, lake)
+    spark.streams.addListener(listener)
+    batches = [[event(1)], [event(2, minutes=60)], [event(3, minutes=61)]]
+    # The watermark is at 12:31; rows at it and before it are late, a repeated late row is late twice.
+    batches.append([event(10 + m, minutes=m) for m in range(25, 36)] + [event(10 + 25, minutes=25), event(50, minutes=20, hub="XXX")])
+    for n, batch in enumerate(batches):
+        land(spark, inbox, n, batch)
+        run(spark, inbox, lake, keep_late=True)
+    letters = spark.read.parquet(lake.dead_letters)
+    late = sorted(r.event_id for r in letters.filter("reject_reason LIKE '%late'").collect())
+    stored = set(bronze_ids(spark, lake))
+    assert stored | set(late) == {"e1", "e2", "e3", "e50"} | {f"e{10 + m}" for m in range(25, 36)} and not stored & set(late)
+    assert late.count("e35") == 2 and rows(letters.filter("event_id = 'e50'"), "reject_reason") == [("hub,late",)]
+    for _ in range(50):  # the listener is told a moment after the batch
+        told = read_progress(spark, lake).collect()
+        if sum(r.late_rows for r in told) == len(late):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert sum(r.late_rows for r in told) == len(late) == 9
+    assert sum(r.input_rows for r in told) >= sum(map(len, batches))
+
+
+def test_hot_event_id_is_dealt_to_all_state_partitions(spark, scratch):
+    """A third of the rows share an id: no state partition gets over twice the median, and the result is the batch's."""
+    n, parts = F.col("id"), 8
+    key = F.when(n % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), n))
+    keyed = spark.range(30_000).select(key.alias(ingest.DEDUP_KEY))
+    dealt = ingest.salted(keyed, 64).repartition(parts, ingest.DEDUP_KEY, ingest.SALT)
+    sizes = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == parts and sizes[-1] <= 2 * sizes[parts // 2]
+    lake, inbox = Lake(f"{scratch}/lake"), f"{scratch}/in"
+    events = [event("hot" if i % 3 == 0 else i, f"P{i % 50}", minutes=i % 20, version=i) for i in range(900)]
+    for start in range(0, 900, 300):
+        land(spark, inbox, start, events[start : start + 300])
+    run(spark, inbox, lake)
+    assert bronze_ids(spark, lake) == sorted({e[0] for e in events})
