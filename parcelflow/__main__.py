@@ -31,6 +31,7 @@ def _arguments() -> argparse.Namespace:
     parser.add_argument("--kafka", help="bootstrap servers; without it ingest reads files")
     parser.add_argument("--topic", default="parcel.events")
     parser.add_argument("--inbox", help="input folder: Parquet files with a binary value, or weather responses")
+    parser.add_argument("--rebuild", action="store_true", help="silver: from all batches, not only new ones")
     parser.add_argument("--exact-dedup", action="store_true", help="remember every event id for ever")
     parser.add_argument("--keep-late", action="store_true", help="store late events with the dead letters")
     parser.add_argument("--available-now", action="store_true", help="stop when the input is used up")
@@ -96,14 +97,20 @@ def main() -> None:
             available_now=args.available_now,
         ).awaitTermination()
     elif args.job == "compact":
-        print(StateStore(spark, lake.state).vacuum(), "old state folders removed")
+        tables = [StateStore(spark, lake.state).files, files.silver_table(spark, lake.silver), jobs.mart_table(spark, lake)]
+        print(sum(table.vacuum() for table in tables), "old folders removed")
     elif args.job == "weather":
         jobs.refresh_weather(spark, lake, args.inbox)
     elif args.job == "silver":
-        jobs.build_silver(spark, lake)
+        rows = jobs.build_silver(spark, lake) if args.rebuild else jobs.update_silver(spark, lake)
+        print(rows, "Silver rows written")
     elif args.job == "warehouse":
-        jobs.build_warehouse(spark, lake, args.accel)
-        jobs.check_warehouse(spark).show(100, truncate=False)
+        try:
+            report = jobs.build_warehouse(spark, lake, args.accel)
+        except jobs.BrokenPromise as broken:
+            raise SystemExit(f"not published: {broken}") from broken
+        for r in report:
+            print(r.severity, r.check, f"{r.table}.{r.column}", r.failures)
     elif args.job == "overdue":
         print(jobs.send_overdue(spark, lake, accel=args.accel), "alerts stored in", lake.alerts)
     elif args.job == "live":
@@ -112,7 +119,7 @@ def main() -> None:
         _parcel(spark, lake, args)
     elif args.job == "history":
         for name in MARTS:
-            mart = spark.read.parquet(lake.mart(name))
+            mart = jobs.read_mart(spark, lake, name)
             mart.show(mart.count(), truncate=False)
 
 

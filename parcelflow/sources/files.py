@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 from parcelflow import schemas as S
 from parcelflow.functions.text import iso_timestamp
 from parcelflow.operators.weather import snapshot_flags, to_snapshot
-
-BATCH = T.StructField("batch_id", T.LongType())
+from parcelflow.sources.generations import BATCH, Generations
 
 
 def deal_out(scan: DataFrame) -> DataFrame:
@@ -49,7 +48,26 @@ def read_bronze(
 def read_silver(
     spark: SparkSession, path: str, from_date: str | None = None, to_date: str | None = None
 ) -> DataFrame:
-    return _between(read_or_empty(spark, path, S.SILVER_SCHEMA), from_date, to_date)
+    """Silver events; only the folders of the dates asked for are listed."""
+    table = silver_table(spark, path)
+    manifest = table.manifest()
+    if not manifest:  # a plain folder by date
+        return _between(read_or_empty(spark, path, S.SILVER_SCHEMA), from_date, to_date)
+    dates = [d for d in manifest if (not from_date or d >= from_date) and (not to_date or d <= to_date)]
+    return _between(table.read(manifest, dates or manifest), from_date, to_date)
+
+
+def silver_table(spark: SparkSession, path: str) -> Generations:
+    return Generations(spark, path, S.SILVER_SCHEMA, "event_date")
+
+
+def read_batches(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
+    """Bronze events of some batches. No other folder is listed."""
+    schema = T.StructType([*S.BRONZE_SCHEMA, BATCH])
+    if not batches:
+        return spark.createDataFrame([], schema)
+    folders = [f"{path}/batch_id={b}" for b in batches]
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders)
 
 
 def _between(events: DataFrame, from_date: str | None, to_date: str | None) -> DataFrame:

@@ -30,13 +30,18 @@ def delete(spark: SparkSession, path: str) -> None:
 def numbered(spark: SparkSession, path: str, key: str) -> list[int]:
     """Sorted numbers ``n`` of the folders ``key=n`` below ``path`` that hold a finished table."""
     found = [int(name.split("=")[1]) for name in names(spark, path) if name.startswith(f"{key}=")]
-    return sorted(n for n in found if any(f.startswith("part-") for f in names(spark, f"{path}/{key}={n}")))
+    return sorted(n for n in found if finished(spark, f"{path}/{key}={n}"))
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has ended."""
+    return "_SUCCESS" in names(spark, path)
 
 
 def newest(spark: SparkSession, path: str, key: str) -> int | None:
     """Largest number of ``numbered``, without a look into the folders below it."""
     for name in sorted(names(spark, path), key=lambda n: int(n.split("=")[1]) if n.startswith(f"{key}=") else -1, reverse=True):
-        if name.startswith(f"{key}=") and any(f.startswith("part-") for f in names(spark, f"{path}/{name}")):
+        if name.startswith(f"{key}=") and finished(spark, f"{path}/{name}"):
             return int(name.split("=")[1])
     return None
 

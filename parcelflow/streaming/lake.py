@@ -39,6 +39,14 @@ class Lake:
     def silver(self) -> str:
         return f"{self.root}/silver"
 
+    @property
+    def silver_ledger(self) -> str:
+        return f"{self.root}/silver_ledger"
+
+    @property
+    def warehouse(self) -> str:
+        return f"{self.root}/warehouse"
+
     @property
     def parcels(self) -> str:
         return f"{self.root}/parcels"
@@ -59,9 +67,6 @@ class Lake:
     def progress(self) -> str:
         return f"{self.root}/progress"
 
-    def mart(self, name: str) -> str:
-        return f"{self.root}/warehouse/{name}"
-
     def checkpoint(self, query: str) -> str:
         return f"{self.root}/_checkpoints/{query}"
 

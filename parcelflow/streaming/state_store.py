@@ -1,14 +1,12 @@
 """Current state of all parcels in hash buckets, each a generation of files that a manifest names.
 
-A batch reads and rewrites only the buckets of its parcels: their merged rows become a new generation below
-``data/batch_id=n/bucket=b``, and a manifest of one row per bucket is written last. A reader follows the newest
-manifest, so it sees a batch as a whole or not at all. A batch that has its manifest is done; a replay skips it, and one
-that was cut short is written anew.
+A batch reads and rewrites only the buckets of its parcels. A batch that has its manifest is done: a replay skips it,
+and one that was cut short is written anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -17,12 +15,11 @@ from pyspark.sql import types as T
 
 from parcelflow import schemas as S
 from parcelflow.operators import state as state_ops
-from parcelflow.sources import storage
+from parcelflow.sources.generations import NONE, Generations
 from parcelflow.streaming.lake import batch_dir
 
 CHANGED_IN = T.StructField("changed_in", T.LongType())
-STORED = T.StructType([*S.STATE_SCHEMA, CHANGED_IN])
-MANIFEST = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("generation", T.LongType())])
+STORED = T.StructType([*S.STATE_SCHEMA, CHANGED_IN, T.StructField("bucket", T.IntegerType())])
 
 
 @dataclass(frozen=True)
@@ -34,40 +31,16 @@ class StateStore:
     buckets: int = 64
 
     @property
-    def data(self) -> str:
-        return f"{self.root}/data"
-
-    @property
-    def manifests(self) -> str:
-        return f"{self.root}/manifests"
-
-    # --- what is there ----------------------------------------------------------
-
-    def batches(self) -> list[int]:
-        """Batches whose manifest is finished and still kept."""
-        return storage.numbered(self.spark, self.manifests, "batch_id")
+    def files(self) -> Generations:
+        return Generations(self.spark, self.root, STORED, "bucket")
 
     def newest(self) -> int | None:
-        return storage.newest(self.spark, self.manifests, "batch_id")
-
-    def manifest(self, batch_id: int | None = None) -> dict[int, int]:
-        """Generation of each bucket, -1 for an empty one: one number per bucket of the store. Empty before the first batch."""
-        batch_id = self.newest() if batch_id is None else batch_id
-        if batch_id is None:
-            return {}
-        path = batch_dir(self.manifests, batch_id)
-        return {r.bucket: r.generation for r in self.spark.read.schema(MANIFEST).parquet(path).collect()}
-
-    def folders(self, manifest: dict[int, int], buckets=None) -> list[str]:
-        chosen = manifest if buckets is None else buckets
-        return [f"{batch_dir(self.data, manifest[b])}/bucket={b}" for b in sorted(chosen) if manifest.get(b, -1) >= 0]
+        """The last batch that is in the store."""
+        return self.files.newest()
 
-    def read(self, manifest: dict[int, int] | None = None, buckets=None) -> DataFrame:
+    def read(self, manifest: Mapping[str, int] | None = None, buckets: Iterable[str] | None = None) -> DataFrame:
         """State rows with ``changed_in``, the batch that wrote them, of all buckets or of some."""
-        folders = self.folders(self.manifest() if manifest is None else manifest, buckets)
-        if not folders:
-            return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(*folders)
+        return self.files.read(manifest, buckets).drop("bucket")
 
     def current(self) -> DataFrame:
         """One row per parcel."""
@@ -79,21 +52,19 @@ class StateStore:
         Only the files of their buckets are listed. Within these the row groups without the ids are skipped by
         their Bloom filters and bounds.
         """
-        manifest = self.manifest()
+        manifest = self.files.manifest()
         if not manifest or not parcel_ids:
             return self.spark.createDataFrame([], S.STATE_SCHEMA)
         ids = self.spark.createDataFrame([(i,) for i in parcel_ids], "parcel_id string")
-        buckets = {r.bucket for r in ids.select(bucket_of(F.col("parcel_id"), len(manifest)).alias("bucket")).collect()}
-        return self.read(manifest, buckets).filter(F.col("parcel_id").isin(list(parcel_ids))).select(*S.STATE_COLUMNS)
+        found = self.read(manifest, buckets_of(ids, len(manifest)))
+        return found.filter(F.col("parcel_id").isin(list(parcel_ids))).select(*S.STATE_COLUMNS)
 
     def changed_since(self, batch_id: int) -> DataFrame:
         """Rows that batches after ``batch_id`` wrote, in the form they have now."""
-        manifest = self.manifest()
+        manifest = self.files.manifest()
         touched = [b for b, generation in manifest.items() if generation > batch_id]
         return self.read(manifest, touched).filter(F.col("changed_in") > batch_id).select(*S.STATE_COLUMNS)
 
-    # --- writing ----------------------------------------------------------------
-
     def apply(
         self,
         events: DataFrame,
@@ -109,69 +80,36 @@ class StateStore:
         known = self.newest()
         if known is not None and batch_id <= known:
             return None
-        manifest = {b: -1 for b in range(self.buckets)} if known is None else self.manifest(known)
+        manifest = {str(b): NONE for b in range(self.buckets)} if known is None else self.files.manifest(known)
         mark = lambda n: F.lit(n).cast("long").alias(CHANGED_IN.name)
         batch = state_ops.latest(events).select(*S.STATE_COLUMNS, mark(batch_id))
         if known is not None or before is None:
-            # At most one number per bucket comes to the driver.
-            found = batch.select(bucket_of(F.col("parcel_id"), len(manifest)).alias("bucket")).distinct().collect()
-            touched = {r.bucket for r in found}
-            stored = self.read(manifest, touched)
+            stored = self.read(manifest, buckets_of(batch, len(manifest)))
         else:
-            touched = set(manifest)
-            stored = state_ops.latest(before()).select(*S.STATE_COLUMNS, mark(-1))
+            stored = state_ops.latest(before()).select(*S.STATE_COLUMNS, mark(NONE))
         merged = state_ops.merge(stored, batch, carry=[CHANGED_IN.name]).drop("changed")
-        self._write(merged.withColumn("bucket", bucket_of(F.col("parcel_id"), len(manifest))), batch_id)
-        filled = {int(n.split("=")[1]) for n in storage.names(self.spark, batch_dir(self.data, batch_id)) if "=" in n}
-        manifest |= dict.fromkeys(filled, batch_id)
-        changed, count = self.read(manifest, filled).filter(F.col(CHANGED_IN.name) == batch_id), Observation()
+        merged = merged.withColumn("bucket", bucket_of(F.col("parcel_id"), len(manifest)))
+        bloom = {"parquet.bloom.filter.enabled#parcel_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        written = self.files.write(merged, batch_id, "parcel_id", **bloom)
+        manifest |= dict.fromkeys(written, batch_id)
+        changed, count = self.read(manifest, written).filter(F.col(CHANGED_IN.name) == batch_id), Observation()
         changed = changed.select(*S.STATE_COLUMNS).observe(count, F.count(F.lit(1)).alias("rows"))
         if changes:
             changed.write.mode("overwrite").parquet(batch_dir(changes, batch_id))
         else:
             changed.write.format("noop").mode("overwrite").save()
-        named = self.spark.createDataFrame(sorted(manifest.items()), MANIFEST).coalesce(1)  # one file: appears at once
-        named.write.mode("overwrite").parquet(batch_dir(self.manifests, batch_id))
+        self.files.publish(manifest, batch_id)
         return count.get["rows"]
 
-    def _write(self, rows: DataFrame, batch_id: int) -> None:
-        """Files by bucket, sorted by parcel; the rebalance splits large buckets and joins small ones in a task."""
-        (
-            rows.hint("rebalance", "bucket")
-            .sortWithinPartitions("bucket", "parcel_id")
-            .write.mode("overwrite")
-            .option("parquet.bloom.filter.enabled#parcel_id", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .partitionBy("bucket")
-            .parquet(batch_dir(self.data, batch_id))
-        )
-
     def vacuum(self, keep: int = 2) -> int:
-        """Removes what only manifests before the newest ``keep`` name; returns the number of folders removed.
-
-        A reader that follows a manifest removed here fails, so ``keep`` must cover the batches of the longest query.
-        """
-        if keep < 1:
-            raise ValueError("the newest manifest must stay")
-        known = self.batches()
-        old, kept = known[:-keep], known[-keep:]
-        if not kept:
-            return 0
-        used = {(g, b) for n in kept for b, g in self.manifest(n).items()}
-        for n in old:
-            storage.delete(self.spark, batch_dir(self.manifests, n))
-        removed = 0
-        for generation in storage.names(self.spark, self.data):
-            number = int(generation.split("=")[1])
-            if number > kept[-1]:
-                continue  # being written
-            inner = [n for n in storage.names(self.spark, f"{self.data}/{generation}") if n.startswith("bucket=")]
-            dead = [n for n in inner if (number, int(n.split("=")[1])) not in used]
-            for n in [""] if len(dead) == len(inner) else dead:
-                storage.delete(self.spark, f"{self.data}/{generation}/{n}".rstrip("/"))
-                removed += 1
-        return removed
+        """Removes generations that only manifests before the newest ``keep`` name."""
+        return self.files.vacuum(keep)
 
 
 def bucket_of(parcel_id: Column, count: int) -> Column:
     return F.pmod(F.xxhash64(parcel_id), F.lit(count)).cast("int")
+
+
+def buckets_of(parcels: DataFrame, count: int) -> set[str]:
+    """Buckets of some parcels: at most ``count`` numbers come to the driver."""
+    return {str(r.bucket) for r in parcels.select(bucket_of(F.col("parcel_id"), count).alias("bucket")).distinct().collect()}

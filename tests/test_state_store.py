@@ -54,15 +54,15 @@ def test_batch_touches_only_its_buckets(spark, scratch):
     """Ten parcels in a store of many: other buckets keep their files, and one file per touched bucket is read."""
     store = StateStore(spark, f"{scratch}/s", buckets=64)
     store.apply(events(spark, [(f"P{i}", 1) for i in range(5000)]), 0)
-    before = store.manifest()
+    before = store.files.manifest()
     assert set(before.values()) == {0} and len(bucket_files(store.read())) == 64
     batch = [(f"P{i * 37}", 2) for i in range(10)]
     assert store.apply(events(spark, batch), 1) == 10
-    after = store.manifest()
+    after = store.files.manifest()
     touched = {b for b in after if after[b] == 1}
     assert len(touched) <= 10 and all(after[b] == 0 for b in set(after) - touched)
-    assert bucket_files(store.read(before, touched)) == {("0", str(b)) for b in touched}
-    assert {n for n in storage.names(spark, f"{store.data}/batch_id=1") if n.startswith("bucket=")} == {f"bucket={b}" for b in touched}
+    assert bucket_files(store.read(before, touched)) == {("0", b) for b in touched}
+    assert {n for n in storage.names(spark, f"{store.files.data}/batch_id=1") if n.startswith("bucket=")} == {f"bucket={b}" for b in touched}
     assert store.current().count() == 5000
 
 
@@ -75,7 +75,7 @@ def test_replay_and_cut_off_batch(spark, scratch):
         assert store.apply(events(spark, [("P1", 9), ("P7", 1)]), batch_id) is None
     assert rows(store.read()) == before and sorted(store.read().inputFiles()) == files
     # A batch whose manifest was not written is not seen, and is written anew.
-    store._write(events(spark, [("P8", 1)]).select(*S.STATE_COLUMNS, F.lit(2).alias("changed_in"), F.lit(0).alias("bucket")), 2)
+    store.files.write(events(spark, [("P8", 1)]).select(*S.STATE_COLUMNS, F.lit(2).alias("changed_in"), F.lit(0).alias("bucket")), 2)
     assert rows(store.read()) == before
     assert store.apply(events(spark, [("P3", 1), ("P1", 4)]), 2) == 1
     assert rows(store.current(), "parcel_id", "version") == [("P1", 4), ("P2", 1), ("P3", 1)]
@@ -97,9 +97,9 @@ def test_vacuum_keeps_what_the_newest_manifests_name(spark, scratch):
     store = StateStore(spark, f"{scratch}/s", buckets=4)
     for n in range(6):
         store.apply(events(spark, [(f"P{i}", n + 1) for i in range(2 if n % 2 else 40)]), n)
-    before, held = rows(store.current()), store.manifest(4)
+    before, held = rows(store.current()), store.files.manifest(4)
     assert store.vacuum(keep=2) > 0
-    assert rows(store.current()) == before and store.batches() == [4, 5]
+    assert rows(store.current()) == before and store.files.batches() == [4, 5]
     assert store.read(held).count() == 40
     assert store.vacuum(keep=2) == 0
     with pytest.raises(ValueError):
