@@ -34,6 +34,7 @@ def _arguments() -> argparse.Namespace:
     parser.add_argument("--rebuild", action="store_true", help="silver: from all batches, not only new ones")
     parser.add_argument("--exact-dedup", action="store_true", help="remember every event id for ever")
     parser.add_argument("--keep-late", action="store_true", help="store late events with the dead letters")
+    parser.add_argument("--start-at", default="earliest", help="alerts: earliest, latest or a batch of the ingest")
     parser.add_argument("--available-now", action="store_true", help="stop when the input is used up")
     parser.add_argument("--sla", choices=S.SLA_CLASSES, help="only this class in the worklist")
     parser.add_argument("--id", help="parcel of the detail view")
@@ -95,6 +96,7 @@ def main() -> None:
             lambda session: warehouse.stg_parcels(files.read_parcels(session, lake.parcels)),
             accel=args.accel,
             available_now=args.available_now,
+            start_at=args.start_at,
         ).awaitTermination()
     elif args.job == "compact":
         tables = [StateStore(spark, lake.state).files, files.silver_table(spark, lake.silver), jobs.mart_table(spark, lake)]

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from parcelflow import schemas as S
 from parcelflow.operators import alerts as alert_ops
 from parcelflow.sources.files import BATCH, read_or_empty
+from parcelflow.streaming.change_feed import read_changes
 from parcelflow.streaming.lake import Lake, batch_dir
 
 ALERT_SCHEMA = T.StructType(
@@ -78,13 +79,17 @@ def start(
     as_of: Column | None = None,
     accel: float = S.TIME_ACCELERATION,
     available_now: bool = False,
+    start_at: str | int | None = None,
 ) -> StreamingQuery:
     """Appends an alert per change that breached its SLA or was returned.
 
-    ``parcels`` is called per batch and gives one row per parcel.
+    ``parcels`` is called per batch and gives one row per parcel. ``start_at`` (``earliest``, ``latest`` or a batch of
+    the ingest) reads the changes batch by batch, without listing the batches before; else all files of the log are
+    followed, also those that a replaced batch brings again.
     """
+    feed = change_feed(spark, lake) if start_at is None else read_changes(spark, lake, start_at)
     writer = (
-        change_feed(spark, lake)
+        feed
         .writeStream.queryName("alerts")
         .foreachBatch(lambda changed, batch_id: write_batch(changed, batch_id, lake, parcels, as_of, accel))
         .option("checkpointLocation", lake.checkpoint("alerts"))
