@@ -47,11 +47,22 @@ def row_key(id_col: str, text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("row_digest")
 
 
+def split_join(long: DataFrame, short: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows of which many may share a key with an aggregate that has one row per key.
+
+    The aggregate is partitioned by the key already and would be joined in place, where adaptive execution cannot split
+    a hot partition. Asking for the key and its hash shuffles both sides for the join, which makes them splittable.
+    """
+    spread = "__key_hash"
+    left, right = (df.withColumn(spread, F.xxhash64(key)) for df in (long, short))
+    return left.join(right, [key, spread]).drop(spread)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node, root the smallest node.
 
     Alternates large-star and small-star steps until no edge changes. Each step is a minimum per node, which combines
-    before the shuffle, and an equi join whose hub side adaptive execution can split. Each round is a written table,
+    before the shuffle, and a ``split_join``, whose hub adaptive execution can split. Each round is a written table,
     so lineage stays short.
     """
     edges = stored(
@@ -65,10 +76,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = split_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = split_join(large, least, "a")
         small = small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(
             least.select("a", F.col("m").alias("b"))
         )
@@ -94,7 +105,7 @@ def paired_chunks(
     sizes = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / chunk).cast("int")
     live = (
-        rows.join(sizes, key)
+        split_join(rows, sizes, key)
         .withColumn("mine", F.pmod(F.xxhash64(F.col(member), F.lit("chunk")), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .withColumn("lo", F.least("mine", "other"))
