@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +19,20 @@ GRAM, SLICES, HASHES = 4, 1 << 20, 2
 #: A language holds an n-gram that it uses at least this often, as a share of the language that uses it most.
 SHARE, LEAST = 0.5, 3
 
-_REST = re.compile(r"[\W\d_]+")
+
+
+@cache
+def _rest() -> re.Pattern:
+    """Runs of what is no letter: besides ``\\W``, digits and the underscore, numerals that ``\\d`` leaves out."""
+    numerals = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and c.isalnum() and not c.isalpha()]
+    return re.compile(rf"[\W\d_{''.join(numerals)}]+")
 
 
 def grams(text: str | None):
     """Hashes of the n-grams of a whole text's letters in lower case, each run of other characters one blank."""
     import numpy as np
 
-    letters = _REST.sub(" ", (text or "").lower()).strip()
+    letters = _rest().sub(" ", (text or "").lower()).strip()
     if not letters:
         return np.zeros(0, np.uint64)
     points = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
