@@ -198,8 +198,8 @@ def vector_groups(
     classes = rows.filter("vec is not null").groupBy("vec").agg(
         F.count("*").alias("weight"), F.min("id").alias("first_id")
     )
-    lone = F.xxhash64("vec").bitwiseOR(F.lit(-(1 << 62)))  # only for classes without any id
-    classes = stored(classes.withColumn("node", F.coalesce("first_id", lone)), "classes")
+    # A number per class, whatever its ids; it holds from here on, as the classes are stored with it.
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     found = stored(cosine_links(classes.select("node", "weight", "vec"), width, classes.count(), least, single), "links")
     links = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("a <> b").select("a", "b"))

@@ -222,6 +222,16 @@ def test_language(spark):
     assert language.identify(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_texts_without_letters_have_no_language(spark):
+    """Numerals of all kinds, signs and marks are no letters; letters of any script are."""
+    texts = ["\u00b2\u00bd", "\u2167", "\u2460 \u0663", "12 _ \u0301 \U0001f389", "\u0f33\U00010107", "\u65e5\u672c", "na\u00efve"]
+    rows = [(i, t, "xx") for i, t in enumerate(texts)] + [(100 + i, "some words here", "en") for i in range(30)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") >= 100)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in got.collect()}
+    for i, text in enumerate(texts):
+        assert (found[i] == ("und", 0.0)) == (not any(c.isalpha() for c in text)), text
+
+
 def test_language_masks_beyond_one_word(spark):
     rows = [(i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 5, f"l{i:03}") for i in range(70)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -286,6 +296,23 @@ def test_vectors(monkeypatch, spark):
     assert vectors.vector_groups(frame.limit(0)).count() == 0
 
 
+def test_vectors_under_one_id_stay_apart(spark):
+    """Different vectors with equal or null ids are linked by what they are, not by their ids."""
+    noise = np.random.default_rng(9)
+    a, b, c = noise.standard_normal((3, 64))
+    close = lambda v: (v + 0.01 * noise.standard_normal(64)).tolist()
+
+    def groups(*rows):
+        frame = spark.createDataFrame([(i, np.asarray(v).tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+        return sorted(map(tuple, vectors.vector_groups(frame).collect()), key=repr)
+
+    assert groups((5, a), (5, b), (2, close(a))) == [(2, 1, 2, True), (5, 0, 5, True), (5, 1, 2, False)]
+    assert groups((1, a), (1, b), (2, close(a)), (3, close(b))) == [(1, 1, 1, True)] * 2 + [(2, 1, 1, False), (3, 1, 1, False)]
+    got = groups((None, a), (None, b), (4, close(b)), (4, c), (4, c), (0, close(c)))
+    want = [(None, 0, None, True), (None, 1, 4, False), (4, 1, 4, True), (4, 2, 0, False), (4, 2, 0, False), (0, 2, 0, True)]
+    assert got == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("rows", [10**3, 10**5, 10**7, 10**8])
 def test_filters_keep_their_recall(rows):
     """Of pairs at the limit and just above it, hardly any lacks a common filter, whatever the number of filters."""
