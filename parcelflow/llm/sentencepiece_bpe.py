@@ -13,7 +13,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units longer than this are segmented one by one, shorter ones side by side.
 LONG_UNIT = 48
 #: Segmented units a worker remembers, over all variants.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Segmentations that a unit can have under one seed; rows and places in a row deal them out.
 VARIANTS = 4
 
