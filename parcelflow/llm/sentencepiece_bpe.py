@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units longer than this are segmented one by one, shorter ones side by side.
 LONG_UNIT = 48
-#: Segmented units a worker remembers, over all variants.
-REMEMBERED = 100_000
-#: Segmentations that a unit can have under one seed; rows and places in a row deal them out.
-VARIANTS = 4
+#: Steps of segmented units that a worker remembers; beyond that it starts anew. Results do not depend on it.
+REMEMBERED = 200_000
 
 _NONE = (1 << 31) - 1
 _WORD64 = (1 << 64) - 1
@@ -108,15 +106,19 @@ class Vocabulary:
         return out
 
 
-def unit_hash(unit: str, seed: int, variant: int) -> int:
-    import xxhash
+def occurrence_key(seed: int, salt: int, place: int) -> int:
+    """Hash key of the unit at ``place`` of a text with a salt of its own."""
+    return mix(mix((salt ^ mix(seed & _WORD64)) & _WORD64) + place & _WORD64)
 
-    return xxhash.xxh64_intdigest(unit.encode(), seed=(seed * VARIANTS + variant) & _WORD64)
+
+def _spot(left, split, right):
+    """One number for the candidate that joins ``[left, split)`` and ``[split, right)``."""
+    return left << 42 | split << 21 | right
 
 
 def skipped(key: int, left: int, split: int, right: int, limit: int) -> bool:
-    """Whether the candidate that joins ``[left, split)`` and ``[split, right)`` is skipped for good."""
-    return mix(key ^ mix((left << 42 | split << 21 | right) + 1)) < limit
+    """Whether a candidate is skipped for good."""
+    return mix(key ^ mix(_spot(left, split, right) + 1)) < limit
 
 
 def segment(vocab: Vocabulary, unit: str, key: int, limit: int) -> list[int]:
@@ -148,8 +150,12 @@ def segment(vocab: Vocabulary, unit: str, key: int, limit: int) -> list[int]:
     return vocab.finish([s for s, ok in zip(symbols, alive) if ok])
 
 
-def segment_many(vocab: Vocabulary, units: list[str], hashes: list[int], limit: int) -> list[bytes]:
-    """As ``segment`` for many short units, as 32-bit numbers: each round merges the best candidate of every unit."""
+def segment_many(vocab: Vocabulary, units: list[str], without: list[tuple[int, ...]]) -> tuple[list[bytes], list[bytes]]:
+    """Segments many short units side by side: each round merges the best candidate of every unit.
+
+    A unit never makes the merges ``without``, given by their spots. Returns the piece numbers of each unit as 32-bit
+    numbers, and the spots of its merges in order as 64-bit numbers.
+    """
     import numpy as np
 
     n, width = len(units), max(map(len, units))
@@ -163,7 +169,14 @@ def segment_many(vocab: Vocabulary, units: list[str], hashes: list[int], limit:
     rank = np.full((n, width + 1), _NONE, np.int64)
     made = np.zeros((n, width + 1), np.int64)
     alive = inside.copy()
-    keys, cut = np.array(hashes, np.uint64), np.uint64(limit & _WORD64)
+
+    def place(row, i, j, end):
+        return ((row * (LONG_UNIT + 1) + i) * (LONG_UNIT + 1) + j) * (LONG_UNIT + 1) + end
+
+    owner = np.repeat(np.arange(n), [len(w) for w in without])
+    spots = np.fromiter((x for w in without for x in w), np.int64, len(owner))
+    barred = np.sort(place(owner, spots >> 42, spots >> 21 & 0x1FFFFF, spots & 0x1FFFFF))
+    barred = np.append(barred, np.iinfo(np.int64).max)
 
     def judge(row, i):
         """Ranks of the candidates that start at ``i``."""
@@ -174,10 +187,9 @@ def segment_many(vocab: Vocabulary, units: list[str], hashes: list[int], limit:
         pair = a.astype(np.uint64) << np.uint64(32) | (b.astype(np.uint64) & np.uint64(0xFFFFFFFF))
         at = np.searchsorted(vocab.keys, pair)
         ok &= vocab.keys[np.minimum(at, len(vocab.keys) - 1)] == pair
-        if limit:
-            end = after[row, np.minimum(j, width)]
-            place = (i << 42 | j << 21 | end) + 1
-            ok &= mix_array(keys[row] ^ mix_array(place.astype(np.uint64))) >= cut
+        if len(barred) > 1:
+            here = place(row, i, j, after[row, np.minimum(j, width)])
+            ok &= barred[np.searchsorted(barred, here)] != here
         at = np.where(ok, at, len(vocab.keys) - 1)
         rank[row, i] = np.where(ok, vocab.made_rank[at], _NONE)
         made[row, i] = vocab.made[at]
@@ -185,6 +197,7 @@ def segment_many(vocab: Vocabulary, units: list[str], hashes: list[int], limit:
     row, i = np.nonzero(inside)
     judge(row, i)
     live = np.arange(n)
+    who, what = [], []
     while len(live):
         best = rank[live].argmin(1)
         go = rank[live, best] < _NONE
@@ -193,6 +206,8 @@ def segment_many(vocab: Vocabulary, units: list[str], hashes: list[int], limit:
             break
         j = after[live, i]
         end = after[live, j]
+        who.append(live)
+        what.append(_spot(i, j, end))
         sym[live, i] = made[live, i]
         alive[live, j] = False
         rank[live, j] = _NONE
@@ -207,55 +222,106 @@ def segment_many(vocab: Vocabulary, units: list[str], hashes: list[int], limit:
     out = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
     for k in np.flatnonzero((alive & ((sym < 0) | (sym >= vocab.size))).any(1)):
         out[k] = np.array(vocab.finish(sym[k][alive[k]].tolist()), np.int32).tobytes()
-    return out
+    who = np.concatenate(who) if who else np.zeros(0, np.int64)
+    turn = np.argsort(who, kind="stable")
+    steps = np.concatenate(what)[turn].tobytes() if what else b""
+    ends = np.cumsum(np.bincount(who, minlength=n)) * 8
+    return out, [steps[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 class Encoder:
-    """Encodes texts, remembering the segmentations of units it has met."""
+    """Encodes texts, each occurrence of a unit with draws of its own.
+
+    What is remembered does not depend on the draws: a node is a unit together with the merges skipped so far, and
+    holds the segmentation and the merges that follow if none of them is skipped. An occurrence starts at its unit's
+    node, draws for the node's merges in order, and goes on at the node of the first one that it skips.
+    """
 
     def __init__(self, model: bytes, seed: int, dropout: float):
         self.vocab, self.seed = Vocabulary(model), seed
         self.limit = min(_WORD64, int(dropout * 2.0**64))
-        self.variants = VARIANTS if self.limit else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.units = re.compile(r"\n| *[^ \n]+| +" if self.vocab.splits_at_newline else r" *[^ ]+| +").findall
-
-    def learn(self, wanted: list[set[str]]) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.children: dict[tuple[int, int], int] = {}
+        self.pieces: list[bytes] = []
+        self.steps: list[bytes] = []
+        self.origin: list[tuple[str, tuple[int, ...]]] = []
+
+    def add(self, new: list[tuple[str, tuple[int, ...]]]) -> None:
+        """Nodes for units with the merges they skip, numbered in order."""
+        at = len(self.origin)
+        self.origin += new
+        self.pieces += [b""] * len(new)
+        self.steps += [b""] * len(new)
+        order = sorted(range(len(new)), key=lambda k: len(new[k][0]))
+        for start in range(0, len(order), 4096):
+            part = order[start : start + 4096]
+            pieces, steps = segment_many(self.vocab, [new[k][0] for k in part], [new[k][1] for k in part])
+            for k, made, path in zip(part, pieces, steps):
+                self.pieces[at + k], self.steps[at + k] = made, path
+
+    def nodes(self, units: list[str], keys) -> list[int]:
+        """The node at which each occurrence of a short unit ends."""
         import numpy as np
 
-        if sum(map(len, self.known)) > REMEMBERED:
-            self.known = [{} for _ in range(self.variants)]
-        for v, units in enumerate(wanted):
-            new = list(units.difference(self.known[v]))
-            new.sort(key=len)
-            hashes = [unit_hash(u, self.seed, v) for u in new]
-            short = sum(len(u) <= LONG_UNIT for u in new)
-            for at in range(0, short, 4096):
-                part = slice(at, min(short, at + 4096))
-                self.known[v].update(zip(new[part], segment_many(self.vocab, new[part], hashes[part], self.limit)))
-            for u, h in zip(new[short:], hashes[short:]):
-                self.known[v][u] = np.array(segment(self.vocab, u, h, self.limit), np.int32).tobytes()
+        if new := list(set(units).difference(self.roots)):
+            self.roots.update(zip(new, range(len(self.origin), len(self.origin) + len(new))))
+            self.add([(u, ()) for u in new])
+        node = np.fromiter(map(self.roots.__getitem__, units), np.int64, len(units))
+        live = np.arange(len(units)) if self.limit else np.zeros(0, np.int64)
+        cut = np.uint64(self.limit)
+        while len(live):
+            kinds, kind = np.unique(node[live], return_inverse=True)
+            paths = [self.steps[k] for k in kinds.tolist()]
+            spots = np.frombuffer(b"".join(paths), np.int64)
+            size = np.fromiter((len(p) // 8 for p in paths), np.int64, len(paths))
+            first = np.cumsum(size) - size
+            many = size[kind]
+            base = np.cumsum(many) - many
+            at = np.repeat(first[kind] - base, many) + np.arange(int(many.sum()))
+            drawn = mix_array(np.repeat(keys[live], many) ^ mix_array((spots + 1).astype(np.uint64))[at]) < cut
+            hit = np.flatnonzero(drawn)
+            who = np.searchsorted(base, hit, side="right") - 1
+            who, index = np.unique(who, return_index=True)  # the first skip of each occurrence
+            live, skips = live[who], spots[at[hit[index]]]
+            ways = list(zip(node[live].tolist(), skips.tolist()))
+            if new := list(set(ways).difference(self.children)):
+                self.children.update(zip(new, range(len(self.origin), len(self.origin) + len(new))))
+                self.add([(self.origin[k][0], (*self.origin[k][1], spot)) for k, spot in new])
+            node[live] = np.fromiter(map(self.children.__getitem__, ways), np.int64, len(ways))
+        return node.tolist()
 
     def encode(self, texts: list[str | None], salts: list[int]) -> list[bytes]:
-        """Piece numbers of each text as 32-bit integers; salts say with which variant a text begins."""
+        """Piece numbers of each text as 32-bit integers."""
+        import numpy as np
+
         out = []
         for block in _blocks(texts):
+            if len(self.origin) > REMEMBERED:
+                self.forget()
             cut = [self.units(" " + t) if (t := texts[k]) else [] for k in block]
-            wanted: list[set[str]] = [set() for _ in range(self.variants)]
-            for k, units in zip(block, cut):
-                for v in range(self.variants):
-                    wanted[(v + salts[k]) % self.variants].update(units[v :: self.variants])
-            self.learn(wanted)
-            for k, units in zip(block, cut):
-                parts = [b""] * len(units)
-                for v in range(self.variants):
-                    known = self.known[(v + salts[k]) % self.variants]
-                    parts[v :: self.variants] = map(known.__getitem__, units[v :: self.variants])
-                out.append(b"".join(parts))
+            many = [len(units) for units in cut]
+            starts = np.cumsum([0, *many])
+            seed = np.uint64(mix(self.seed & _WORD64))
+            own = mix_array(np.array([salts[k] for k in block], np.int64).view(np.uint64) ^ seed)
+            place = np.arange(starts[-1]) - np.repeat(starts[:-1], many)
+            keys = mix_array(np.repeat(own, many) + place.astype(np.uint64))
+            flat = [u for units in cut for u in units]
+            long = [k for k, u in enumerate(flat) if len(u) > LONG_UNIT]
+            apart = {k: flat[k] for k in long}
+            for k in long:
+                flat[k] = "\n"  # a place holder
+            parts = list(map(self.pieces.__getitem__, self.nodes(flat, keys))) if flat else []
+            for k, unit in apart.items():
+                parts[k] = np.array(segment(self.vocab, unit, int(keys[k]), self.limit), np.int32).tobytes()
+            out += [b"".join(parts[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
         return out
 
 
-def _blocks(texts: list[str | None], points: int = 1_000_000):
+def _blocks(texts: list[str | None], points: int = 500_000):
     """Ranges of texts of about so many code points, so that a block's units fit in memory."""
     start = total = 0
     for k, t in enumerate(texts):
@@ -294,11 +360,11 @@ def encode(text: Column, salt: Column, model: str = MODEL, seed: int = 1, dropou
     """Piece numbers of whole texts as ``array<int>``.
 
     Merges run in order of score, leftmost first; each candidate merge is skipped with probability ``dropout`` by a
-    hash keyed with the seed, the unit (a word with the blanks before it), the variant and the candidate's place. Which
-    of ``VARIANTS`` variants a unit takes follows from ``salt`` (say a row's id; null counts as 0) and its place in the
-    row, so equal seeds give equal pieces. With ``dropout=0`` the result is the tokenizer's own. Null and empty texts
-    have no pieces. Characters outside the vocabulary, and U+2581 itself, become byte pieces, so any text decodes to
-    itself.
+    hash keyed with the seed, the row (``salt``, say its id, and the text), the place of the unit (a word with the blanks
+    before it) in the row, and the candidate's place in the unit. So every occurrence of a word draws for itself, while
+    equal rows with equal salts, null among them, give equal pieces. With ``dropout=0`` the result is the tokenizer's
+    own. Null and empty texts have no pieces. Characters outside the vocabulary, and U+2581 itself, become byte pieces,
+    so any text decodes to itself.
     """
     data = _read(model)
 
@@ -311,9 +377,8 @@ def encode(text: Column, salt: Column, model: str = MODEL, seed: int = 1, dropou
         ends = np.cumsum([0] + [len(m) // 4 for m in made]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), np.int32)))
 
-    first = F.pmod(F.xxhash64(F.coalesce(salt.cast("string"), F.lit("0"))), F.lit(VARIANTS)).cast("int")
     # Marked so that the planner runs it once, also where a decoder reads its result; it is a function of its input.
-    return run.asNondeterministic()(text, first)
+    return run.asNondeterministic()(text, F.xxhash64(salt.cast("string"), text))
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:

@@ -255,15 +255,31 @@ def test_tokens(spark, dropout):
         assert (other == again) == (dropout != 0.1 or not docs.count())
 
 
-def test_segments_side_by_side_equal_the_agenda():
+@pytest.mark.parametrize("limit", [0, 1 << 61, 1 << 63, (1 << 64) - 1])
+def test_every_occurrence_draws_for_itself(monkeypatch, limit):
+    """Whole texts beside the plain agenda of each occurrence, with little memory and with much."""
     with open(sentencepiece_bpe.MODEL, "rb") as f:
-        vocab = sentencepiece_bpe.Vocabulary(f.read())
-    units = [" hello", "   spaces", "naïve", " 漢字🎉x", " internationalization", "\n", "aaaaaaaaaaaa"] * 3
-    hashes = [sentencepiece_bpe.unit_hash(u, k, 1) for k, u in enumerate(units)]
-    for limit in (0, 1 << 61, 1 << 63):
-        many = sentencepiece_bpe.segment_many(vocab, units, hashes, limit)
-        one = [sentencepiece_bpe.segment(vocab, u, h, limit) for u, h in zip(units, hashes)]
-        assert [np.frombuffer(m, np.int32).tolist() for m in many] == one
+        encoder = sentencepiece_bpe.Encoder(f.read(), 7, limit / 2.0**64)
+    encoder.limit = limit
+    texts = ["hello    spaces naïve 漢字🎉x internationalization\n\nend ", None, "", "aaaaaaaaaaaa " * 40, "word " * 1000]
+    texts += ["x" * 60 + " ▁ y", "word " * 1000, "\n", " "]
+    salts = [5, 1, 2, -3, 8, 1 << 62, 9, 0, -(1 << 63)]
+    want = []
+    for text, salt in zip(texts, salts):
+        ids = []
+        for place, unit in enumerate(encoder.units(" " + text) if text else []):
+            key = sentencepiece_bpe.occurrence_key(7, salt % (1 << 64), place)
+            ids += sentencepiece_bpe.segment(encoder.vocab, unit, key, limit)
+        want.append(ids)
+    for remembered in (0, 10**6):
+        monkeypatch.setattr(sentencepiece_bpe, "REMEMBERED", remembered)
+        got = [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts, salts)]
+        assert got == want
+        for text, ids in zip(texts, got):
+            assert sentencepiece_bpe.decode_ids(encoder.vocab, ids) == (text or "")
+    if 0 < limit < 1 << 63:
+        kinds = {node for node in encoder.nodes([" internationalization"] * 1000, np.arange(1000).astype(np.uint64))}
+        assert len({encoder.pieces[k] for k in kinds}) > 50
 
 
 def test_vectors(monkeypatch, spark):
