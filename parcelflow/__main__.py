@@ -11,7 +11,7 @@ from parcelflow import schemas as S
 from parcelflow.operators import live, warehouse
 from parcelflow.plans import jobs
 from parcelflow.session import build_session
-from parcelflow.sources import files, kafka
+from parcelflow.sources import bronze, files, kafka
 from parcelflow.streaming import alerts, ingest
 from parcelflow.streaming.lake import Lake
 from parcelflow.streaming.progress import ProgressLog
@@ -99,8 +99,10 @@ def main() -> None:
             start_at=args.start_at,
         ).awaitTermination()
     elif args.job == "compact":
+        print(bronze.compact(spark, lake.bronze), "Bronze batches compacted")
         tables = [StateStore(spark, lake.state).files, files.silver_table(spark, lake.silver), jobs.mart_table(spark, lake)]
-        print(sum(table.vacuum() for table in tables), "old folders removed")
+        removed = sum(table.vacuum() for table in tables) + bronze.vacuum(spark, lake.bronze)
+        print(removed, "old folders removed")
     elif args.job == "weather":
         jobs.refresh_weather(spark, lake, args.inbox)
     elif args.job == "silver":

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from parcelflow import schemas as S
 from parcelflow.operators import alerts as alert_ops
 from parcelflow.operators import quality, silver, warehouse, weather
-from parcelflow.sources import files, storage
+from parcelflow.sources import bronze, files
 from parcelflow.sources.generations import BATCH, NONE, Generations
 from parcelflow.streaming import state_log
 from parcelflow.streaming.alerts import ALERT_SCHEMA, sent_alerts
@@ -26,8 +26,8 @@ NULL_DATE = "__HIVE_DEFAULT_PARTITION__"
 
 def build_silver(spark: SparkSession, lake: Lake) -> int:
     """Rebuilds Silver from all of Bronze: typed, one row per event id, by event date. Returns its rows."""
-    batches = storage.numbered(spark, lake.bronze, "batch_id")
-    return _publish_silver(spark, lake, files.read_batches(spark, lake.bronze, batches), batches, {})
+    seen = bronze.snapshot(spark, lake.bronze)
+    return _publish_silver(spark, lake, bronze.read(spark, lake.bronze, seen=seen), seen.batches, {})
 
 
 def update_silver(spark: SparkSession, lake: Lake) -> int:
@@ -41,11 +41,12 @@ def update_silver(spark: SparkSession, lake: Lake) -> int:
     run = table.newest()
     seen = files.read_or_empty(spark, lake.silver_ledger, CONSUMED).filter(F.col("batch_id") <= (NONE if run is None else run))
     known = {r.bronze_batch for r in seen.select("bronze_batch").distinct().collect()}  # a number per batch, as listed
-    fresh = [b for b in storage.numbered(spark, lake.bronze, "batch_id") if b not in known]
+    found = bronze.snapshot(spark, lake.bronze)
+    fresh = [b for b in found.batches if b not in known]
     if not fresh:
         return 0
     manifest = table.manifest(run) if run is not None else {}
-    events = files.read_batches(spark, lake.bronze, fresh)
+    events = bronze.read(spark, lake.bronze, fresh, seen=found)
     before = table.read(manifest)
     again = before.select("event_id", "event_date").join(events.select("event_id"), "event_id", "left_semi")
     # A row per date comes to the driver.

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from parcelflow import schemas as S
 from parcelflow.functions.text import iso_timestamp
 from parcelflow.operators.weather import snapshot_flags, to_snapshot
-from parcelflow.sources.generations import BATCH, Generations
+from parcelflow.sources import bronze
+from parcelflow.sources.generations import BATCH, Generations  # noqa: F401
 
 
 def deal_out(scan: DataFrame) -> DataFrame:
@@ -41,8 +42,8 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str
 def read_bronze(
     spark: SparkSession, path: str, from_date: str | None = None, to_date: str | None = None
 ) -> DataFrame:
-    """Bronze events of all batches. The dates select partitions, not rows."""
-    return _between(read_or_empty(spark, path, T.StructType([*S.BRONZE_SCHEMA, BATCH])), from_date, to_date)
+    """Bronze events of all finished batches. The dates select partitions, not rows."""
+    return bronze.read(spark, path, None, from_date, to_date)
 
 
 def read_silver(
@@ -62,12 +63,8 @@ def silver_table(spark: SparkSession, path: str) -> Generations:
 
 
 def read_batches(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
-    """Bronze events of some batches. No other folder is listed."""
-    schema = T.StructType([*S.BRONZE_SCHEMA, BATCH])
-    if not batches:
-        return spark.createDataFrame([], schema)
-    folders = [f"{path}/batch_id={b}" for b in batches]
-    return spark.read.schema(schema).option("basePath", path).parquet(*folders)
+    """Bronze events of some batches, from their folders or the slices they were compacted into."""
+    return bronze.read(spark, path, batches)
 
 
 def _between(events: DataFrame, from_date: str | None, to_date: str | None) -> DataFrame:
