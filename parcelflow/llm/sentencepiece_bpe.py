@@ -13,7 +13,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units longer than this are segmented one by one, shorter ones side by side.
 LONG_UNIT = 48
 #: Steps of segmented units that a worker remembers; beyond that it starts anew. Results do not depend on it.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 _NONE = (1 << 31) - 1
 _WORD64 = (1 << 64) - 1
@@ -321,7 +321,7 @@ class Encoder:
         return out
 
 
-def _blocks(texts: list[str | None], points: int = 500_000):
+def _blocks(texts: list[str | None], points: int = 200_000):
     """Ranges of texts of about so many code points, so that a block's units fit in memory."""
     start = total = 0
     for k, t in enumerate(texts):
