@@ -8,10 +8,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow import schemas as S
-from parcelflow.operators import live, warehouse
+from parcelflow.operators import live
 from parcelflow.plans import jobs
 from parcelflow.session import build_session
-from parcelflow.sources import bronze, files, kafka
+from parcelflow.sources import bronze, files, kafka, reference
 from parcelflow.streaming import alerts, ingest
 from parcelflow.streaming.lake import Lake
 from parcelflow.streaming.progress import ProgressLog
@@ -24,7 +24,7 @@ def _arguments() -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="parcelflow")
     parser.add_argument(
         "job",
-        choices=["ingest", "alerts", "compact", "weather", "silver", "warehouse", "overdue", "live", "history", "parcel"],
+        choices=["ingest", "alerts", "compact", "weather", "parcels", "silver", "warehouse", "overdue", "live", "history", "parcel"],
     )
     parser.add_argument("--lake", required=True, help="root folder of the lake")
     parser.add_argument("--accel", type=float, default=S.TIME_ACCELERATION, help="simulated seconds per second")
@@ -38,7 +38,7 @@ def _arguments() -> argparse.Namespace:
     parser.add_argument("--available-now", action="store_true", help="stop when the input is used up")
     parser.add_argument("--sla", choices=S.SLA_CLASSES, help="only this class in the worklist")
     parser.add_argument("--id", help="parcel of the detail view")
-    parser.add_argument("--buckets", type=int, default=64, help="state buckets of a new lake")
+    parser.add_argument("--buckets", type=int, default=64, help="state buckets of a new lake, parcel buckets of a new generation")
     parser.add_argument("--limit", type=int, default=200, help="rows of the worklist")
     return parser.parse_args()
 
@@ -58,6 +58,7 @@ def _ingest(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
         available_now=args.available_now,
         buckets=args.buckets,
         keep_late=args.keep_late,
+        network=reference.read_network(spark, lake.network),
         on_metrics=lambda batch, counts: print(f"batch {batch}: {counts}", flush=True),
     ).awaitTermination()
 
@@ -65,7 +66,7 @@ def _ingest(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
 def _live(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
     question = {
         "state": jobs.current_state(spark, lake),
-        "parcels": warehouse.stg_parcels(files.read_parcels(spark, lake.parcels)),
+        "parcels": jobs.parcel_store(spark, lake).read(),
         "as_of": F.current_timestamp(),
         "accel": args.accel,
     }
@@ -79,7 +80,7 @@ def _live(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
 
 def _parcel(spark: SparkSession, lake: Lake, args: argparse.Namespace) -> None:
     state = StateStore(spark, lake.state).lookup(args.id)
-    parcels = warehouse.stg_parcels(files.read_parcels(spark, lake.parcels))
+    parcels = jobs.parcel_store(spark, lake).read()
     live.parcel_detail(state, parcels, args.id, F.current_timestamp(), args.accel).show(vertical=True, truncate=False)
 
 
@@ -93,7 +94,7 @@ def main() -> None:
         alerts.start(
             spark,
             lake,
-            lambda session: warehouse.stg_parcels(files.read_parcels(session, lake.parcels)),
+            lambda session: jobs.parcel_store(session, lake).read(),
             accel=args.accel,
             available_now=args.available_now,
             start_at=args.start_at,
@@ -101,10 +102,13 @@ def main() -> None:
     elif args.job == "compact":
         print(bronze.compact(spark, lake.bronze), "Bronze batches compacted")
         tables = [StateStore(spark, lake.state).files, files.silver_table(spark, lake.silver), jobs.mart_table(spark, lake)]
+        tables.append(jobs.parcel_store(spark, lake).files)
         removed = sum(table.vacuum() for table in tables) + bronze.vacuum(spark, lake.bronze)
         print(removed, "old folders removed")
     elif args.job == "weather":
         jobs.refresh_weather(spark, lake, args.inbox)
+    elif args.job == "parcels":
+        print("generation", jobs.parcel_store(spark, lake, args.buckets).publish())
     elif args.job == "silver":
         rows = jobs.build_silver(spark, lake) if args.rebuild else jobs.update_silver(spark, lake)
         print(rows, "Silver rows written")

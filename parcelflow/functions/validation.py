@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parcelflow import schemas as S
+from parcelflow.network import DEFAULT, Network
 
 
 def known_hub(hub: Column, hubs: Sequence[str] = S.HUB_IDS) -> Column:
@@ -30,26 +31,26 @@ def not_in_future(event_ts: Column, as_of: Column | None = None, tolerance: str
     return event_ts <= now + F.expr(f"INTERVAL {tolerance}")
 
 
-def reject_reasons(as_of: Column | None = None, hubs: Sequence[str] = S.HUB_IDS) -> Column:
+def reject_reasons(as_of: Column | None = None, network: Network = DEFAULT) -> Column:
     """Sorted array of the rules an event row breaks; empty for a valid row.
 
     A rule that cannot be decided because a value is null counts as broken, so no
     row falls between the valid and the rejected side.
     """
     rules = {
-        "bbox": in_box(F.col("lat"), F.col("lon")),
+        "bbox": in_box(F.col("lat"), F.col("lon"), network.lat_range, network.lon_range),
         "future": not_in_future(F.col("event_ts"), as_of),
-        "hub": known_hub(F.col("hub_id"), hubs),
+        "hub": known_hub(F.col("hub_id"), network.hub_ids),
     }
     broken = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]
     return F.array_compact(F.array(*broken))
 
 
-def is_valid(as_of: Column | None = None, hubs: Sequence[str] = S.HUB_IDS) -> Column:
+def is_valid(as_of: Column | None = None, network: Network = DEFAULT) -> Column:
     """All rules hold. Never null."""
     holds = (
-        known_hub(F.col("hub_id"), hubs)
-        & in_box(F.col("lat"), F.col("lon"))
+        known_hub(F.col("hub_id"), network.hub_ids)
+        & in_box(F.col("lat"), F.col("lon"), network.lat_range, network.lon_range)
         & not_in_future(F.col("event_ts"), as_of)
     )
     return F.coalesce(holds, F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +31,18 @@ def alerts(changed: DataFrame, parcels: DataFrame, as_of: Column, accel: float =
 
 
 def overdue(
-    state: DataFrame, parcels: DataFrame, as_of: Column, sent: DataFrame | None = None, accel: float = S.TIME_ACCELERATION
+    state: DataFrame,
+    parcels: DataFrame,
+    as_of: Column,
+    sent: DataFrame | None = None,
+    accel: float = S.TIME_ACCELERATION,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Breach alerts that no event triggers: the clock alone moved past the window.
 
-    Run on a schedule; ``sent`` holds the alerts given out before.
+    Run on a schedule; ``sent`` holds the alerts given out before. ``carry`` names further columns of the state to keep.
     """
-    due = alerts(state.select("parcel_id", "status"), parcels, as_of, accel).filter("breached")
+    due = alerts(state.select("parcel_id", "status", *carry), parcels, as_of, accel).filter("breached")
     if sent is None:
         return due
     return due.join(sent.filter("breached").select("parcel_id"), "parcel_id", "left_anti")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelflow import schemas as S
 from parcelflow.functions.validation import is_valid, reject_reasons
+from parcelflow.network import DEFAULT, Network
 
 # A framed value starts with one magic byte and a four-byte schema id.
 FRAME_HEADER_BYTES = 5
@@ -66,31 +65,31 @@ def to_frames(events: DataFrame, schema_id: int = 1) -> DataFrame:
     )
 
 
-def validate(events: DataFrame, as_of: Column | None = None, hubs: Sequence[str] = S.HUB_IDS) -> DataFrame:
+def validate(events: DataFrame, as_of: Column | None = None, network: Network = DEFAULT) -> DataFrame:
     """Adds the never-null flag ``is_valid``."""
-    return events.withColumn("is_valid", is_valid(as_of, hubs))
+    return events.withColumn("is_valid", is_valid(as_of, network))
 
 
-def reject(events: DataFrame, as_of: Column | None = None, hubs: Sequence[str] = S.HUB_IDS) -> DataFrame:
+def reject(events: DataFrame, as_of: Column | None = None, network: Network = DEFAULT) -> DataFrame:
     """Rows that break a rule, with ``reject_reason`` naming every broken rule.
 
     Rows that already carry their reason keep it: a row is judged once.
     """
     if "reject_reason" in events.columns:
         return events.filter(F.col("reject_reason") != "").drop("is_valid", "is_decoded")
-    return judge(events, as_of, hubs).filter(F.col("reject_reason") != "").drop("is_valid", "is_decoded")
+    return judge(events, as_of, network).filter(F.col("reject_reason") != "").drop("is_valid", "is_decoded")
 
 
-def judge(events: DataFrame, as_of: Column | None = None, hubs: Sequence[str] = S.HUB_IDS) -> DataFrame:
+def judge(events: DataFrame, as_of: Column | None = None, network: Network = DEFAULT) -> DataFrame:
     """Adds ``reject_reason``, empty for a valid row, and ``is_valid``, both from one look at the clock."""
-    reasons = reject_reasons(as_of, hubs)
+    reasons = reject_reasons(as_of, network)
     if "is_decoded" in events.columns:
         reasons = F.when(F.col("is_decoded"), reasons).otherwise(F.array(F.lit("decode")))
     judged = events.withColumn("reject_reason", F.array_join(reasons, ","))
     return judged.withColumn("is_valid", F.col("reject_reason") == "")
 
 
-def enrich(events: DataFrame, weather: DataFrame | None, hubs: Sequence[str] = S.HUB_IDS) -> DataFrame:
+def enrich(events: DataFrame, weather: DataFrame | None, network: Network = DEFAULT) -> DataFrame:
     """Adds ``weather_bad`` of the event's hub, null when the hub has no weather.
 
     Only hubs of the network count and each gives one flag, so the broadcast holds at
@@ -99,7 +98,7 @@ def enrich(events: DataFrame, weather: DataFrame | None, hubs: Sequence[str] = S
     if weather is None:
         return events.withColumn("weather_bad", F.lit(None).cast("boolean"))
     flags = (
-        weather.filter(F.col("hub_id").isin(list(hubs)))
+        weather.filter(F.col("hub_id").isin(network.hub_ids))
         .groupBy("hub_id")
         .agg(F.bool_or("weather_bad").alias("weather_bad"))
     )

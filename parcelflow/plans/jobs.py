@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from parcelflow import schemas as S
 from parcelflow.operators import alerts as alert_ops
 from parcelflow.operators import quality, silver, warehouse, weather
-from parcelflow.sources import bronze, files
+from parcelflow.sources import bronze, files, reference
 from parcelflow.sources.generations import BATCH, NONE, Generations
+from parcelflow.sources.parcel_store import ParcelStore
 from parcelflow.streaming import state_log
 from parcelflow.streaming.alerts import ALERT_SCHEMA, sent_alerts
 from parcelflow.streaming.lake import Lake, batch_dir
@@ -71,13 +72,19 @@ def _publish_silver(spark: SparkSession, lake: Lake, events: DataFrame, batches:
 
 
 def refresh_weather(spark: SparkSession, lake: Lake, inbox: str) -> None:
-    """Hub flags from landed response files, one response per file; the newest entry of a hub counts."""
+    """Hub flags from landed response files, one response per file; the newest entry of a hub counts.
+
+    Hubs and limits are those of the lake's network.
+    """
+    network = reference.read_network(spark, lake.network)
     responses = (
         spark.read.text(inbox, wholetext=True).select(
             F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("fetched_at")
         )
     )
-    flagged = weather.flags(weather.parse_responses(responses))
+    flagged = weather.flags(
+        weather.parse_responses(responses, hubs=network.hub_ids), network.wind_limit, network.precipitation_limit
+    )
     files.write_weather(weather.weather_by_hub(flagged, "fetched_at"), lake.weather)
 
 
@@ -196,6 +203,10 @@ def check_models(models: dict[str, DataFrame]) -> DataFrame:
     return report
 
 
+def parcel_store(spark: SparkSession, lake: Lake, buckets: int = 64) -> ParcelStore:
+    return ParcelStore(spark, lake.parcel_store, lake.parcels, buckets)
+
+
 def current_state(spark: SparkSession, lake: Lake) -> DataFrame:
     """State of the bucketed store; of the change log while a lake written before the store has no batch in it."""
     store = StateStore(spark, lake.state)
@@ -206,10 +217,10 @@ def overdue_alerts(
     spark: SparkSession, lake: Lake, as_of: Column | None = None, accel: float = S.TIME_ACCELERATION
 ) -> DataFrame:
     """Breaches that only the clock caused and that no alert has reported yet."""
-    parcels = warehouse.stg_parcels(files.read_parcels(spark, lake.parcels))
+    parcels = parcel_store(spark, lake).read()
     now = F.current_timestamp() if as_of is None else as_of
     return alert_ops.overdue(
-        current_state(spark, lake), parcels, now, sent_alerts(spark, lake), accel
+        current_state(spark, lake), parcels, now, sent_alerts(spark, lake), accel, ["version"]
     )
 
 

@@ -378,3 +378,4 @@ UNION ALL SELECT event_id, 'version', 'type' FROM landed WHERE k % 47 = 0""",
         ]
     ),
 }
+ORACLE["nearest_hub_grid"] = ORACLE["nearest_hub"]

@@ -14,6 +14,7 @@ from parcelflow.functions.geo import nearest_hub as closest
 from parcelflow.functions.geo import sla_hours as hours_of
 from parcelflow.operators import alerts as alert_ops
 from parcelflow.operators import ingest, lifecycle, live, quality, silver, state, warehouse, weather
+from parcelflow.operators.nearest import with_nearest_hub
 from parcelflow.plans import pipeline
 from parcelflow.sources import sample, storage
 from parcelflow.streaming.state_store import StateStore
@@ -276,6 +277,13 @@ def nearest_hub(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query
+def nearest_hub_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the grid of candidates that long lists of hubs use."""
+    area = sample.parcel_events(spark, sf).filter(F.col("event_type").isin(S.DELIVERY_AREA_TYPES)).select("event_id", "lat", "lon")
+    return with_nearest_hub(area, out="hub_id", inline=0).select("event_id", "hub_id")
+
+
 @_query
 def postcode_region(spark: SparkSession, sf: str) -> DataFrame:
     return _stg_parcels(spark, sf).select(

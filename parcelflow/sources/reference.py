@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from parcelflow import schemas as S
+from parcelflow.network import DEFAULT, Network
 
 # Fixed values. Towns of the delivery area: name, latitude, longitude, postcode, region.
 TOWNS = [
@@ -73,3 +76,42 @@ def service_levels(spark: SparkSession) -> DataFrame:
 
 def lifecycle_edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(S.LIFECYCLE_EDGES, "from_type string, to_type string")
+
+
+HUB_TYPE = "struct<hub_id:string,name:string,lat:double,lon:double>"
+NETWORK_SCHEMA = (
+    f"hubs array<{HUB_TYPE}>, lat_range array<double>, lon_range array<double>, "
+    "regions array<struct<digit:string,region:string>>, wind_limit double, precipitation_limit double"
+)
+
+
+def write_network(spark: SparkSession, path: str, network: Network = DEFAULT) -> None:
+    """Replaces the stored network: one row, one file."""
+    row = (network.hubs, network.lat_range, network.lon_range, network.regions, network.wind_limit, network.precipitation_limit)
+    spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in row)], NETWORK_SCHEMA).coalesce(1).write.mode(
+        "overwrite"
+    ).json(path)
+
+
+def read_network(spark: SparkSession, path: str) -> Network:
+    """The stored network; the built-in one where there is none. Fields that are left out have their built-in values.
+
+    A hub keeps the place it has in the list, which decides ties. Raises ``ValueError`` for a network that no rule could
+    be decided by: no hubs, a hub without id or place, an id twice, a range that is no pair in order.
+    """
+    try:
+        row = spark.read.schema(T.StructType.fromDDL(NETWORK_SCHEMA)).json(path).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
+    if row is None:
+        return DEFAULT
+    given = {name: value for name, value in row.asDict().items() if value is not None}
+    network = Network(**{k: tuple(tuple(v) if isinstance(v, T.Row) else v for v in x) if isinstance(x, list) else x for k, x in given.items()})
+    ids = network.hub_ids
+    if not ids or len(set(ids)) < len(ids) or any(None in (hub[0], hub[2], hub[3]) for hub in network.hubs):
+        raise ValueError(f"hubs of {path} need an id of their own and a place")
+    if any(len(pair) != 2 or None in pair or pair[0] >= pair[1] for pair in (network.lat_range, network.lon_range)):
+        raise ValueError(f"ranges of {path} must be two rising numbers")
+    return network

@@ -53,22 +53,21 @@ def write_batch(
     parcels: Callable[[SparkSession], DataFrame],
     as_of: Column | None = None,
     accel: float = S.TIME_ACCELERATION,
+    seen_once: bool = False,
 ) -> None:
     """Alerts of one micro-batch. A change is known by parcel and version and alerts once,
-    even if a replay shows it again."""
+    even if a replay shows it again. A feed that shows each change once (``seen_once``) spares
+    the look at the alerts that were sent before."""
     spark = changed.sparkSession
     now = F.current_timestamp() if as_of is None else as_of
     fresh = changed.select("parcel_id", "version", "status").distinct()
     # The batch is the short side: only its parcels are looked up.
     wanted = parcels(spark).join(fresh.select("parcel_id"), "parcel_id", "left_semi")
-    sent = sent_alerts(spark, lake).filter(F.col("batch_id") < batch_id).select("parcel_id", "version")
-    (
-        alert_ops.alerts(fresh, wanted, now, accel)
-        .join(sent, ["parcel_id", "version"], "left_anti")
-        .select(*ALERT_SCHEMA.names)
-        .write.mode("overwrite")
-        .parquet(batch_dir(lake.alerts, batch_id))
-    )
+    found = alert_ops.alerts(fresh, wanted, now, accel)
+    if not seen_once:
+        sent = sent_alerts(spark, lake).filter(F.col("batch_id") < batch_id).select("parcel_id", "version")
+        found = found.join(sent, ["parcel_id", "version"], "left_anti")
+    found.select(*ALERT_SCHEMA.names).write.mode("overwrite").parquet(batch_dir(lake.alerts, batch_id))
 
 
 def start(
@@ -83,15 +82,16 @@ def start(
 ) -> StreamingQuery:
     """Appends an alert per change that breached its SLA or was returned.
 
-    ``parcels`` is called per batch and gives one row per parcel. ``start_at`` (``earliest``, ``latest`` or a batch of
-    the ingest) reads the changes batch by batch, without listing the batches before; else all files of the log are
+    ``parcels`` is called per batch and gives one row per parcel; from a bucketed ``ParcelStore`` it is joined as it lies. ``start_at`` (``earliest``, ``latest`` or a batch of
+    the ingest) reads the changes batch by batch, without listing the batches before, and gives each change once; else all files of the log are
     followed, also those that a replaced batch brings again.
     """
+    once = start_at is not None
     feed = change_feed(spark, lake) if start_at is None else read_changes(spark, lake, start_at)
     writer = (
         feed
         .writeStream.queryName("alerts")
-        .foreachBatch(lambda changed, batch_id: write_batch(changed, batch_id, lake, parcels, as_of, accel))
+        .foreachBatch(lambda changed, batch_id: write_batch(changed, batch_id, lake, parcels, as_of, accel, once))
         .option("checkpointLocation", lake.checkpoint("alerts"))
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()

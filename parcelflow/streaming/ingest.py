@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from parcelflow import schemas as S
+from parcelflow.network import DEFAULT, Network
 from parcelflow.operators import ingest
 from parcelflow.sources.files import BATCH, read_or_empty
 from parcelflow.streaming import state_log
@@ -24,7 +25,12 @@ CLOCKS = T.StructType([T.StructField("clock", T.TimestampType()), BATCH])
 Metrics = Callable[[int, dict[str, int]], None]
 
 
-def flag(framed: DataFrame, as_of: Column | None = None, decode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def flag(
+    framed: DataFrame,
+    as_of: Column | None = None,
+    decode: Callable[[DataFrame], DataFrame] | None = None,
+    network: Network = DEFAULT,
+) -> DataFrame:
     """Decoded and judged events. An undecodable value keeps its bytes in ``raw``.
 
     The verdict is made here, once, and carried along: later steps never look at the clock again. A null value has
@@ -35,7 +41,7 @@ def flag(framed: DataFrame, as_of: Column | None = None, decode: Callable[[DataF
     return (
         events.withColumn("raw", F.when(~F.col("is_decoded"), F.col("raw")))
         .withColumn(DEDUP_KEY, F.coalesce("event_id", F.concat(F.lit("undecoded:"), F.coalesce(F.sha2("raw", 256), F.uuid()))))
-        .transform(ingest.judge, as_of)
+        .transform(ingest.judge, as_of, network)
         .withColumn(EVENT_CLOCK, F.when(~F.col("reject_reason").contains("future"), F.col("event_ts")))
     )
 
@@ -109,6 +115,7 @@ def write_batch(
     as_of: Column | None = None,
     on_metrics: Metrics | None = None,
     buckets: int = 64,
+    network: Network = DEFAULT,
 ) -> None:
     """One micro-batch to all three tables. Every table gets one directory per batch, so a
     replay after a failure replaces what the failed attempt left behind. A batch without
@@ -117,7 +124,7 @@ def write_batch(
     batch.persist()
     try:
         valid = batch.filter("is_valid").select(*S.EVENT_COLUMNS)
-        bronze = ingest.with_event_date(ingest.enrich(valid, weather(spark)))
+        bronze = ingest.with_event_date(ingest.enrich(valid, weather(spark), network))
         stored, refused = Observation(), Observation()
         (
             bronze.observe(stored, F.count(F.lit(1)).alias("rows"))
@@ -126,7 +133,7 @@ def write_batch(
             .partitionBy("event_date")
             .parquet(batch_dir(lake.bronze, batch_id))
         )
-        refused_rows = ingest.reject(batch).select(*S.EVENT_COLUMNS, "reject_reason", "raw")
+        refused_rows = ingest.reject(batch, as_of, network).select(*S.EVENT_COLUMNS, "reject_reason", "raw")
         letters = batch_dir(lake.dead_letters, batch_id)
         has_refused = not refused_rows.isEmpty()
         if has_refused or not read_or_empty(spark, letters, refused_rows.schema).isEmpty():
@@ -153,27 +160,28 @@ def start(
     on_metrics: Metrics | None = None,
     buckets: int = 64,
     keep_late: bool = False,
+    network: Network = DEFAULT,
 ) -> StreamingQuery:
     """Starts the ingest query on a stream of framed values.
 
     ``weather`` is called per batch, so a refreshed weather table is picked up. ``as_of``
     replaces the current time in the check for events of the future. ``buckets`` is the number of state buckets
-    of a new lake: a bucket should hold some hundred megabytes at most.
+    of a new lake: a bucket should hold some hundred megabytes at most. ``network`` is judged by until the query ends.
 
     Rows later than the watermark are dropped and counted in the query's progress. With ``keep_late`` they go to the
     dead letters with the reason ``late``, which takes a second look at the input.
     """
-    flagged = flag(framed, as_of, decode)
+    flagged = flag(framed, as_of, decode, network)
     events = deduplicated(flagged, delay, mode)
     if keep_late:
         events = with_all_clocks(events, flagged)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         if not keep_late:
-            write_batch(batch, batch_id, lake, weather, as_of, on_metrics, buckets)
+            write_batch(batch, batch_id, lake, weather, as_of, on_metrics, buckets, network)
             return
         batch, newest = late_rows(batch, clock_before(batch.sparkSession, lake, batch_id, delay))
-        write_batch(batch, batch_id, lake, weather, as_of, on_metrics, buckets)
+        write_batch(batch, batch_id, lake, weather, as_of, on_metrics, buckets, network)
         row = batch.sparkSession.createDataFrame([(newest.get["clock"],)], T.StructType([CLOCKS["clock"]]))
         row.coalesce(1).write.mode("overwrite").parquet(batch_dir(lake.clocks, batch_id))
 

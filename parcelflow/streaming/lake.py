@@ -55,6 +55,14 @@ class Lake:
     def weather(self) -> str:
         return f"{self.root}/weather"
 
+    @property
+    def parcel_store(self) -> str:
+        return f"{self.root}/parcel_store"
+
+    @property
+    def network(self) -> str:
+        return f"{self.root}/network"
+
     @property
     def alerts(self) -> str:
         return f"{self.root}/alerts"
