@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import row_key, stored
+from parcelflow.llm.common import split_join, stored
 
 #: Words of the anchor that puts a window into a shard; at most so many windows in a row share an anchor.
 ANCHOR = 8
@@ -192,9 +192,9 @@ def shard_masks(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """``(id, row_digest, start, mask)``: bit i of mask says that the window at ``start + i`` occurs elsewhere too."""
+    """``(row, start, mask)``: bit i of mask says that the window at ``start + i`` of the row occurs elsewhere too."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col), F.col(text_col).alias("text"))
+    rows = docs.select(row_token(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
     def anchors(batches):
         import numpy as np
@@ -217,14 +217,14 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, length: int)
     table[words["w"].to_numpy()] = words["mask"].to_numpy()
     shared = spark.sparkContext.broadcast(table.view(np.uint64))
 
-    @F.arrow_udf("array<struct<start:int,key:long,h1:long,h2:long,words:binary>>")
+    @F.arrow_udf("array<struct<start:int,windows:int,key:long,h1:long,h2:long>>")
     def cut(texts):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
         table, last = shared.value, np.uint64(bits - 1)
-        starts, keys, lines, ends = [], [], [], [0]
+        starts, sizes, keys, digests, ends = [], [], [], [], [0]
         for text in texts.to_pylist():
             words = (text or "").encode().split()
             start, windows, key = passages(words, length)
@@ -234,25 +234,32 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, length: int)
                 keep &= (table[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
             start, windows = start[keep], windows[keep]
             starts.append(start)
+            sizes.append(windows)
             keys.append(key[keep])
             stop = start + windows + length - 1
-            lines += [b" ".join(words[a:b]) for a, b in zip(start.tolist(), stop.tolist())]
-            ends.append(len(lines))
-        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
+            digests += [xxhash.xxh3_128_digest(b" ".join(words[a:b])) for a, b in zip(start.tolist(), stop.tolist())]
+            ends.append(len(digests))
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         columns = [
-            pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(keys), pa.int64()),
-            pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(lines, pa.binary()),
+            pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(sizes), pa.int32()),
+            pa.array(np.concatenate(keys), pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
         ]
-        found = pa.StructArray.from_arrays(columns, ["start", "key", "h1", "h2", "words"])
+        found = pa.StructArray.from_arrays(columns, ["start", "windows", "key", "h1", "h2"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
-    cuts = stored(rows.select("id", "row_digest", F.explode(cut("text")).alias("p")).select("id", "row_digest", "p.*"), "cuts")
-    same = stored(
-        cuts.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), F.first("words").alias("words")), "passages"
-    )
-    many = same.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > MANY).select("key")
-    masks = shard_masks(same.join(many, "key", "left_anti"), length)
-    hot = same.join(many, "key")
+    cuts = stored(rows.select("row", F.explode(cut("text")).alias("p")).select("row", "p.*"), "cuts")
+    # A passage and where it stands first; its words are not carried along.
+    place = F.min(F.struct("row", "start", "windows")).alias("at")
+    known = stored(cuts.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), place), "passages")
+    # Windows are equal only under equal anchors, so an anchor with one passage needs no search: if the passage occurs
+    # again, so do all its windows, else none.
+    tally = stored(known.groupBy("key").agg(F.count("*").alias("k")), "anchors")
+    alone = split_join(known.filter("n > 1"), tally.filter("k = 1").select("key"), "key")
+    alone = alone.select("key", "h1", "h2", F.expr("shiftleft(1L, at.windows) - 1").alias("mask"))
+    several = split_join(known, tally.filter("k > 1"), "key")
+    same = stored(_passage_words(several, rows, length), "words")
+    masks = alone.union(shard_masks(same.filter(F.col("k") <= MANY).drop("k"), length))
+    hot = same.filter(F.col("k") > MANY)
     parts = F.split(F.col("words").cast("string"), " ")
     hot = hot.select("key", "h1", "h2", "n", parts.alias("w"))
     hot = hot.select(
@@ -268,9 +275,39 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, length: int)
     hot = hot.join(single, ["w1", "w2"]).groupBy("key", "h1", "h2")
     masks = masks.union(hot.agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask")))
     masks = stored(masks, "masks")
-    return cuts.select("id", "row_digest", "start", "key", "h1", "h2").join(masks, ["key", "h1", "h2"]).select(
-        "id", "row_digest", "start", "mask"
-    )
+    return cuts.join(masks, ["key", "h1", "h2"]).select("row", "start", "mask")
+
+
+def _passage_words(passages: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """``(key, h1, h2, n, k, words)``: passages with their words, read again from the row each stands in first.
+
+    Rows get the list of their passages, no more than they have words. Rows that share a token have equal texts; one
+    of them is read.
+    """
+    wanted = F.struct("at.start", "at.windows", "key", "h1", "h2", "n", "k")
+    wanted = passages.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(wanted).alias("wanted"))
+    texts = rows.join(wanted, "row").groupBy("row").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+
+    @F.arrow_udf("array<binary>")
+    def sliced(texts, starts, windows):
+        import pyarrow as pa
+
+        lines, ends = [], [0]
+        for text, first, sizes in zip(texts.to_pylist(), starts.to_pylist(), windows.to_pylist()):
+            words = text.encode().split()
+            lines += [b" ".join(words[at : at + size + length - 1]) for at, size in zip(first, sizes)]
+            ends.append(len(lines))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lines, pa.binary()))
+
+    found = texts.withColumn("words", sliced("text", F.col("wanted.start"), F.col("wanted.windows")))
+    found = found.select(F.explode(F.arrays_zip("wanted", "words")).alias("p"))
+    return found.select(*[F.col(f"p.wanted.{c}").alias(c) for c in ("key", "h1", "h2", "n", "k")], F.col("p.words").alias("words"))
+
+
+def row_token(id_col: str, text_col: str):
+    """Digest of a row's id and text: tells rows apart that share one of them; equal rows share it."""
+    number = F.coalesce(F.col(id_col).cast("string"), F.lit("none"))
+    return F.unhex(F.md5(F.concat(number, F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
 def dedup_substrings(
@@ -284,16 +321,12 @@ def dedup_substrings(
     repeat one another; ids may repeat or be null. An empty table gives no rows.
 
     Windows go to shards by anchors, runs of words that equal windows share, so each shard is searched by its own
-    windows only. Anchors that occur once need no search. Equal passages are one entry; an anchor with more than
+    windows only. Anchors that occur once, or with one passage only, need no search. Equal passages are one entry; an anchor with more than
     ``MANY`` different passages has its windows dealt out singly, so no shard grows with one anchor.
     """
     found = repeated_passages(docs, id_col, text_col, length)
-    spans = found.groupBy("id", "row_digest").agg(F.collect_set(F.struct("start", "mask")).alias("__spans"))
-    spans = spans.select(F.col("id").alias("__id"), F.col("row_digest").alias("__digest"), "__spans")
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    joined = keyed.join(
-        spans, keyed[id_col].eqNullSafe(spans["__id"]) & (keyed["__row"] == spans["__digest"]), "left"
-    )
+    spans = found.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("start", "mask")).alias("__spans"))
+    joined = docs.withColumn("__row", row_token(id_col, text_col)).join(spans, "__row", "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def keep(texts, starts, masks):
