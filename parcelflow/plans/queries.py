@@ -183,7 +183,9 @@ def _store(spark: SparkSession, *batches: DataFrame) -> StateStore:
 @_query
 def upsert_state_bucketed(spark: SparkSession, sf: str) -> DataFrame:
     """``upsert_state`` through the stored buckets: even versions are one batch, odd ones the next."""
-    scans = _scans(spark, sf)
+    path = storage.scratch_folder(spark, "scans")
+    _scans(spark, sf).write.parquet(path)  # both batches come from one join and one deduplication
+    scans = spark.read.parquet(path)
     store = _store(spark, scans.filter(F.col("version") % 2 == 0), scans.filter(F.col("version") % 2 != 0))
     return store.read().select(*S.STATE_COLUMNS, (F.col("changed_in") == 1).alias("changed"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from parcelflow import schemas as S
 from parcelflow.operators import state as state_ops
+from parcelflow.sources import storage
 from parcelflow.sources.generations import NONE, Generations
 from parcelflow.streaming.lake import batch_dir
 
@@ -34,6 +35,11 @@ class StateStore:
     def files(self) -> Generations:
         return Generations(self.spark, self.root, STORED, "bucket")
 
+    @property
+    def incoming(self) -> str:
+        """Folder of the batch that is being merged, one row per parcel; gone when it is in the store."""
+        return f"{self.root}/incoming"
+
     def newest(self) -> int | None:
         """The last batch that is in the store."""
         return self.files.newest()
@@ -83,8 +89,13 @@ class StateStore:
         manifest = {str(b): NONE for b in range(self.buckets)} if known is None else self.files.manifest(known)
         mark = lambda n: F.lit(n).cast("long").alias(CHANGED_IN.name)
         batch = state_ops.latest(events).select(*S.STATE_COLUMNS, mark(batch_id))
-        if known is not None or before is None:
+        if known is not None:
+            # Written once, as it is read twice: for its buckets and for the merge.
+            batch.write.mode("overwrite").parquet(batch_dir(self.incoming, batch_id))
+            batch = self.spark.read.schema(batch.schema).parquet(batch_dir(self.incoming, batch_id))
             stored = self.read(manifest, buckets_of(batch, len(manifest)))
+        elif before is None:
+            stored = self.read(manifest, [])
         else:
             stored = state_ops.latest(before()).select(*S.STATE_COLUMNS, mark(NONE))
         merged = state_ops.merge(stored, batch, carry=[CHANGED_IN.name]).drop("changed")
@@ -99,6 +110,7 @@ class StateStore:
         else:
             changed.write.format("noop").mode("overwrite").save()
         self.files.publish(manifest, batch_id)
+        storage.delete(self.spark, self.incoming)
         return count.get["rows"]
 
     def vacuum(self, keep: int = 2) -> int:

@@ -127,3 +127,20 @@ def test_hot_parcel_is_combined_before_the_shuffle(spark, scratch):
     )
     assert store.apply(hot, 0) == 100
     assert store.lookup("P0").first().version == 29_997
+
+
+def test_batch_is_computed_once(spark, scratch):
+    """A batch is read twice, for its buckets and for the merge, but its rows are made once; nothing of it is left."""
+    store = StateStore(spark, f"{scratch}/s", buckets=8)
+    for batch_id in range(3):
+        made = spark.sparkContext.accumulator(0)
+
+        def tell(part, made=made):
+            for frame in part:
+                made.add(len(frame))
+                yield frame
+
+        batch = events(spark, [(f"P{i}", batch_id + 1) for i in range(40)])
+        assert store.apply(batch.mapInPandas(tell, batch.schema), batch_id) == 40
+        assert made.value == 40
+        assert storage.names(spark, store.incoming) == []
