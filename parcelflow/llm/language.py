@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from functools import cache
 
@@ -20,22 +19,28 @@ GRAM, SLICES, HASHES = 4, 1 << 20, 2
 SHARE, LEAST = 0.5, 3
 
 
-
 @cache
-def _rest() -> re.Pattern:
-    """Runs of what is no letter: besides ``\\W``, digits and the underscore, numerals that ``\\d`` leaves out."""
-    numerals = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and c.isalnum() and not c.isalpha()]
-    return re.compile(rf"[\W\d_{''.join(numerals)}]+")
+def _letters():
+    """For each code point itself if it is a letter, else a blank; digits and other numerals are no letters."""
+    import numpy as np
+
+    is_letter = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return np.where(is_letter, np.arange(sys.maxunicode + 1, dtype=np.uint32), np.uint32(32))
 
 
 def grams(text: str | None):
     """Hashes of the n-grams of a whole text's letters in lower case, each run of other characters one blank."""
     import numpy as np
 
-    letters = _rest().sub(" ", (text or "").lower()).strip()
-    if not letters:
+    points = _letters()[np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le"), np.uint32)]
+    letter = points != 32
+    if not letter.any():
         return np.zeros(0, np.uint64)
-    points = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    letter[1:] |= letter[:-1]  # a letter, or the first blank after one
+    letter[0] = True
+    first = int((points != 32).argmax())
+    letter[1 : first] = False
+    points = points[letter].astype(np.uint64)
     n = max(1, len(points) - GRAM + 1)
     code = np.zeros(n, np.uint64)
     for i in range(min(GRAM, len(points))):

@@ -443,3 +443,18 @@ def test_site_posteriors_shrink(spark):
     assert abs(got["rich", "a"] - 0.9) < 0.05 and abs(got["rich", "b"] - 0.2) < 0.1
     assert mean < got["sparse", "a"] < 0.85 < got["rich", "a"]
     assert got[None, None] < 0.2
+
+
+def test_language_grams_cost_little_beside_the_text():
+    """Finding the letters of a text must not cost a pattern with hundreds of numerals per character."""
+    import time
+
+    from parcelflow.llm.language import grams
+
+    text = "Élan vital, 4 kg ½ of ① ４ ६ ⅷ 日本 x_y " * 10_000
+    grams(text)
+    began = time.process_time()
+    found = grams(text)
+    assert time.process_time() - began < 1e-6 * len(text)
+    spaced = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    assert (found == grams(spaced)).all() and len(found) == len(spaced) + 2 - 3
