@@ -458,3 +458,31 @@ def test_language_grams_cost_little_beside_the_text():
     assert time.process_time() - began < 1e-6 * len(text)
     spaced = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
     assert (found == grams(spaced)).all() and len(found) == len(spaced) + 2 - 3
+
+
+def test_sets_share_a_band_if_they_are_similar():
+    """Pairs at a Jaccard similarity of 0.8, 90 or 450 shingles, share a band; the rate is close to what is computed."""
+    noise = np.random.default_rng(5)
+    met = 0
+    for k in range(600):
+        each = 5 if k % 2 else 25  # 0.8 = 16 / 20
+        both = noise.integers(0, 1 << 63, 16 * each, dtype=np.uint64)
+        sides = [np.append(both, noise.integers(0, 1 << 63, 2 * each, dtype=np.uint64)) for _ in range(2)]
+        met += bool((simhash.set_bands(sides[0]) == simhash.set_bands(sides[1])).any())
+    assert met >= 596
+
+
+def test_unrelated_texts_are_not_dealt(monkeypatch, spark):
+    """Texts without a common shingle never meet, so what is dealt does not grow with the square of their number."""
+    noise, dealt, real = random.Random(4), [], simhash.paired_chunks
+
+    def spy(*args):
+        dealt.append(real(*args).count())
+        return real(*args)
+
+    monkeypatch.setattr(simhash, "paired_chunks", spy)
+    rows = [(i, " ".join("".join(noise.choices("abcdefgh", k=6)) for _ in range(40))) for i in range(1500)]
+    rows.append((9999, rows[0][1] + " end"))
+    found = simhash.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found if not r.kept} == {9999}
+    assert sum(dealt) <= 2 * simhash.BANDS + 2
