@@ -15,19 +15,6 @@ MOST_BITS = 1 << 27
 SHARD_WORDS, MANY = 1_000_000, 5_000
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_HASHES = _WordHashes()
-
-
 def passages(words: list[bytes], length: int):
     """Runs of windows that share an anchor: arrays ``(first window, windows, anchor hash)``.
 
@@ -35,10 +22,11 @@ def passages(words: list[bytes], length: int):
     have equal anchors at equal places, and different windows of one run have one anchor occurrence.
     """
     import numpy as np
+    import xxhash
 
     if len(words) < length:
         return (np.zeros(0, np.int64),) * 3
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)  # cheaper than to look words up
     size = min(ANCHOR, length)
     runs = len(words) - size + 1
     code = np.zeros(runs, np.uint64)
@@ -310,6 +298,16 @@ def row_token(id_col: str, text_col: str):
     return F.unhex(F.md5(F.concat(number, F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
+def uncovered(count: int, starts, masks, length: int):
+    """Whether each of ``count`` words lies outside all windows; bit i of a mask is the window at its start + i."""
+    import numpy as np
+
+    span, shift = np.nonzero(masks[:, None] >> np.arange(length) & 1)
+    at = starts[span] + shift
+    rise = np.bincount(at, minlength=count + 1) - np.bincount(at + length, minlength=count + 1)
+    return np.cumsum(rise[:-1]) == 0
+
+
 def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35
 ) -> DataFrame:
@@ -338,13 +336,7 @@ def dedup_substrings(
             words = (text or "").encode().split()
             removed = 0
             if first is not None and len(first):
-                rise = np.zeros(len(words) + 1, np.int64)
-                first, mask = np.array(first), np.array(mask)
-                for i in range(length):
-                    at = first[mask >> i & 1 == 1] + i
-                    np.add.at(rise, at, 1)
-                    np.add.at(rise, at + length, -1)
-                left = np.cumsum(rise[:-1]) == 0
+                left = uncovered(len(words), np.array(first), np.array(mask), length)
                 removed = len(words) - int(left.sum())
                 kept = b" ".join(w for w, ok in zip(words, left.tolist()) if ok)
             else:

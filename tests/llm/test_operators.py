@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from parcelflow.llm import decontaminate, language, quality, quotes, sentencepiece_bpe, simhash, vectors, warc
+from parcelflow.llm import decontaminate, language, quality, quotes, sentencepiece_bpe, simhash, substring_dedup, vectors, warc
 from parcelflow.llm.common import components
 from parcelflow.llm.line_dedup import dedup_lines
 from parcelflow.llm.substring_dedup import dedup_substrings
@@ -486,3 +486,20 @@ def test_unrelated_texts_are_not_dealt(monkeypatch, spark):
     found = simhash.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in found if not r.kept} == {9999}
     assert sum(dealt) <= 2 * simhash.BANDS + 2
+
+
+def test_words_outside_windows_cost_little():
+    """Covers of 2,000 short texts equal brute force and take no pass over the texts for each bit of a mask."""
+    import time
+
+    noise = np.random.default_rng(6)
+    cases = []
+    for _ in range(2000):
+        starts = np.sort(noise.choice(300, 12, replace=False))
+        cases.append((starts, noise.integers(0, 1 << 28, 12)))
+    began = time.process_time()
+    found = [substring_dedup.uncovered(400, *case, 35) for case in cases]
+    assert time.process_time() - began < 0.8
+    for (starts, masks), left in list(zip(cases, found))[:50]:
+        hit = {s + i + j for s, m in zip(starts, masks) for i in range(28) if m >> i & 1 for j in range(35)}
+        assert [k not in hit for k in range(400)] == left.tolist()
