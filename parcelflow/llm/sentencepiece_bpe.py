@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units longer than this are segmented one by one, shorter ones side by side.
 LONG_UNIT = 48
-#: Steps of segmented units that a worker remembers; beyond that it starts anew. Results do not depend on it.
+#: Units whose spans a worker remembers; beyond that it starts anew. Results do not depend on it.
 REMEMBERED = 50_000
+#: Occurrences that are segmented side by side.
+SIDE_BY_SIDE = 4096
 
 _NONE = (1 << 31) - 1
 _WORD64 = (1 << 64) - 1
@@ -35,6 +39,13 @@ def mix_array(x):
     return x ^ (x >> u(31))
 
 
+def _slot(ways, bits: int, turn: int):
+    """Places in a hash table of ``2 ** bits``."""
+    import numpy as np
+
+    return (ways.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Vocabulary:
     """Pieces, merges and byte pieces of a SentencePiece BPE model with byte fallback."""
 
@@ -66,23 +77,101 @@ class Vocabulary:
         self.symbol = symbols
         order = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
         self.rank_of = {i: order[s] for i, s in score.items()}
-        self.merges: dict[tuple[int, int], int] = {}
-        for text, i in ids.items():
-            for cut in range(1, len(text)):
-                a, b = symbols.get(text[:cut]), symbols.get(text[cut:])
-                if a is not None and b is not None:
-                    self.merges[a, b] = i
+        self.ids = ids
         self.splits_at_newline = not any("\n" in t for t in ids)
-        keys = np.array([(a << 32) | b for a, b in self.merges], np.uint64)
-        turn = np.argsort(keys)
-        self.keys = np.append(keys[turn], np.uint64(_WORD64))
-        made = np.array(list(self.merges.values()), np.int64)[turn]
-        self.made = np.append(made, 0)
-        self.made_rank = np.append(np.array([self.rank_of[i] for i in made.tolist()], np.int64), _NONE)
-
         points = [ord(t) for t in symbols if len(t) == 1 and ord(t) < 1 << 16]
         self.of_point = -1 - np.arange(1 << 16)
         self.of_point[points] = [symbols[chr(c)] for c in points]
+        self._plant(ids)
+
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], int]:
+        """The piece that two symbols make; only long units ask for it."""
+        made = {}
+        for text, i in self.ids.items():
+            for cut in range(1, len(text)):
+                a, b = self.symbol.get(text[:cut]), self.symbol.get(text[cut:])
+                if a is not None and b is not None:
+                    made[a, b] = i
+        return made
+
+    def _plant(self, ids: dict[str, int]) -> None:
+        """The pieces as a trie whose branches lie in hash tables, so that many texts walk it side by side."""
+        import numpy as np
+
+        self.letter = {ch: k for k, ch in enumerate(sorted(set("".join(ids))), 1)}  # 0: no letter of any piece
+        self.letter_of_point = np.zeros(1 << 16, np.int64)
+        for ch, k in self.letter.items():
+            if ord(ch) < 1 << 16:
+                self.letter_of_point[ord(ch)] = k
+        branches: dict[int, int] = {}
+        numbers = [-1]
+        for text, i in ids.items():
+            node = 0
+            for ch in text:
+                way = node * (len(self.letter) + 1) + self.letter[ch]
+                if way not in branches:
+                    branches[way] = len(numbers)
+                    numbers.append(-1)
+                node = branches[way]
+            numbers[node] = i
+        self.longest = max(map(len, ids))
+        kind = np.int16 if self.size < 1 << 15 else np.int32
+        self.number_of_node = np.array(numbers, kind)
+        self.rank_of_number = np.full(self.size, _NONE, np.int32)
+        for i, r in self.rank_of.items():
+            self.rank_of_number[i] = r
+        ways, nodes = np.array(list(branches), np.int64), np.array(list(branches.values()), np.int64)
+        self.tables = []
+        while len(ways):  # ways that meet another one in a table go to the next
+            bits = (4 * len(ways)).bit_length()
+            slot = _slot(ways, bits, len(self.tables))
+            slots, first = np.unique(slot, return_index=True)
+            keys, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+            keys[slots], values[slots] = ways[first], nodes[first]
+            self.tables.append((bits, keys, values))
+            left = np.ones(len(ways), bool)
+            left[first] = False
+            ways, nodes = ways[left], nodes[left]
+
+    def _step(self, ways):
+        """Nodes that branches lead to, -1 where there is none."""
+        import numpy as np
+
+        out, rest = np.full(len(ways), -1, np.int64), np.arange(len(ways))
+        for k, (bits, keys, values) in enumerate(self.tables):
+            slot = _slot(ways, bits, k)
+            there = keys.take(slot)
+            hit = np.flatnonzero(there == ways)
+            out[rest[hit]] = values[slot[hit]]
+            other = np.flatnonzero((there != ways) & (there >= 0))  # an empty place: in no table
+            rest, ways = rest[other], ways[other]
+        return out
+
+    def spans(self, units: list[str]):
+        """A row per character of the units: the numbers of the pieces that begin there, by length, -1 where none is.
+
+        Which piece a merge makes, and its rank, depend on the merged span alone, wherever it was cut. The last column
+        stands for all greater lengths.
+        """
+        import numpy as np
+
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        letter = self.letter_of_point[np.minimum(points, 0xFFFF)]
+        for k in np.flatnonzero(points > 0xFFFF):
+            letter[k] = self.letter.get(chr(points[k]), 0)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        stop = np.repeat(np.cumsum(size), size)
+        out = np.full((len(points), self.longest + 1), -1, self.number_of_node.dtype)
+        at, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+        for length in range(self.longest):
+            node = self._step(node * (len(self.letter) + 1) + letter[at + length])
+            found = node >= 0
+            at, node = at[found], node[found]
+            out[at, length] = self.number_of_node[node]
+            inside = at + length + 1 < stop[at]
+            at, node = at[inside], node[inside]
+        return out
 
     def start_symbols(self, text: str):
         """A symbol per character; characters outside the vocabulary are negative, ``-1 - code point``."""
@@ -150,148 +239,139 @@ def segment(vocab: Vocabulary, unit: str, key: int, limit: int) -> list[int]:
     return vocab.finish([s for s, ok in zip(symbols, alive) if ok])
 
 
-def segment_many(vocab: Vocabulary, units: list[str], without: list[tuple[int, ...]]) -> tuple[list[bytes], list[bytes]]:
-    """Segments many short units side by side: each round merges the best candidate of every unit.
+class _Rows(dict):
+    """Unit -> its row among the spans, and its length in the low bits; new units get the next rows."""
+
+    def __init__(self):
+        self.used, self.new = 0, []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = at = self.used << 6 | len(unit)
+        self.used += len(unit)
+        self.new.append(unit)
+        return at
 
-    A unit never makes the merges ``without``, given by their spots. Returns the piece numbers of each unit as 32-bit
-    numbers, and the spots of its merges in order as 64-bit numbers.
+
+def segment_many(vocab: Vocabulary, units: list[str], keys, limit: int, spans, base, size) -> list[bytes]:
+    """Segments many occurrences of short units side by side: each round merges the best candidate of every one.
+
+    ``spans`` are rows of ``Vocabulary.spans``, ``base`` the one at which each occurrence's unit begins, ``size`` its
+    length. Returns the piece numbers of each occurrence as 32-bit numbers. The result is that of ``segment``.
     """
     import numpy as np
 
-    n, width = len(units), max(map(len, units))
-    sym = np.full((n, width + 1), -1, np.int64)
-    size = np.fromiter(map(len, units), np.int64, n)
-    inside = np.arange(width + 1)[None, :] < size[:, None]
-    sym[inside] = vocab.start_symbols("".join(units))
-    after = np.broadcast_to(np.minimum(np.arange(1, width + 2), width)[None, :], (n, width + 1)).copy()
-    np.minimum(after, size[:, None], out=after)
-    before = np.broadcast_to(np.arange(-1, width)[None, :], (n, width + 1)).copy()
-    rank = np.full((n, width + 1), _NONE, np.int64)
-    made = np.zeros((n, width + 1), np.int64)
-    alive = inside.copy()
-
-    def place(row, i, j, end):
-        return ((row * (LONG_UNIT + 1) + i) * (LONG_UNIT + 1) + j) * (LONG_UNIT + 1) + end
-
-    owner = np.repeat(np.arange(n), [len(w) for w in without])
-    spots = np.fromiter((x for w in without for x in w), np.int64, len(owner))
-    barred = np.sort(place(owner, spots >> 42, spots >> 21 & 0x1FFFFF, spots & 0x1FFFFF))
-    barred = np.append(barred, np.iinfo(np.int64).max)
-
-    def judge(row, i):
-        """Ranks of the candidates that start at ``i``."""
-        j = after[row, i]
-        ok = j < size[row]
-        a, b = sym[row, i], sym[row, np.minimum(j, width)]
-        ok &= (a >= 0) & (b >= 0)
-        pair = a.astype(np.uint64) << np.uint64(32) | (b.astype(np.uint64) & np.uint64(0xFFFFFFFF))
-        at = np.searchsorted(vocab.keys, pair)
-        ok &= vocab.keys[np.minimum(at, len(vocab.keys) - 1)] == pair
-        if len(barred) > 1:
-            here = place(row, i, j, after[row, np.minimum(j, width)])
-            ok &= barred[np.searchsorted(barred, here)] != here
-        at = np.where(ok, at, len(vocab.keys) - 1)
-        rank[row, i] = np.where(ok, vocab.made_rank[at], _NONE)
-        made[row, i] = vocab.made[at]
-
-    row, i = np.nonzero(inside)
-    judge(row, i)
-    live = np.arange(n)
-    who, what = [], []
+    n, width = len(size), int(size.max())
+    stride, columns, cut = width + 1, vocab.longest + 1, np.uint64(limit)
+    flat, row = spans.reshape(-1), np.arange(n)
+    inside = np.arange(stride)[None, :] < size[:, None]
+    after = np.minimum(np.arange(1, stride + 1)[None, :], size[:, None]).reshape(-1)
+    before = np.tile(np.arange(-1, width), n)
+    rank = np.full((n, stride), _NONE, np.int32)
+    ranks, alive = rank.reshape(-1), inside.copy().reshape(-1)
+
+    def numbers(row, i, end):
+        return flat.take((base.take(row) + i) * columns + (np.minimum(end - i, columns) - 1))
+
+    def judge(row, i, j, end):
+        """Ranks of the candidates that join ``[i, j)`` and ``[j, end)``; none where ``j`` is the end of the unit."""
+        found = numbers(row, i, end)
+        ok = np.flatnonzero((found >= 0) & (j < end))
+        if limit:
+            spot = _spot(i.take(ok), j.take(ok), end.take(ok)) + 1
+            drawn = mix_array(keys.take(row.take(ok)) ^ mix_array(spot.view(np.uint64)))
+            ok = ok[drawn >= cut]
+        new = np.full(len(i), _NONE, np.int32)
+        new[ok] = vocab.rank_of_number.take(found.take(ok))
+        ranks[row * stride + i] = new
+
+    live, i = np.nonzero(inside)
+    judge(live, i, i + 1, np.minimum(i + 2, size.take(live)))
+    live = row
     while len(live):
-        best = rank[live].argmin(1)
-        go = rank[live, best] < _NONE
-        live, i = live[go], best[go]
-        if not len(live):
-            break
-        j = after[live, i]
-        end = after[live, j]
-        who.append(live)
-        what.append(_spot(i, j, end))
-        sym[live, i] = made[live, i]
-        alive[live, j] = False
-        rank[live, j] = _NONE
-        after[live, i] = end
-        before[live, end] = i
-        judge(live, i)
-        p = before[live, i]
-        has = p >= 0
-        judge(live[has], p[has])
-    ends = np.cumsum(alive.sum(1)) * 4
-    flat = sym[alive].astype(np.int32).tobytes()
-    out = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-    for k in np.flatnonzero((alive & ((sym < 0) | (sym >= vocab.size))).any(1)):
-        out[k] = np.array(vocab.finish(sym[k][alive[k]].tolist()), np.int32).tobytes()
-    who = np.concatenate(who) if who else np.zeros(0, np.int64)
-    turn = np.argsort(who, kind="stable")
-    steps = np.concatenate(what)[turn].tobytes() if what else b""
-    ends = np.cumsum(np.bincount(who, minlength=n)) * 8
-    return out, [steps[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        i = rank.take(live, 0).argmin(1)
+        at = live * stride + i
+        go = np.flatnonzero(ranks.take(at) < _NONE)
+        if len(go) < len(live):
+            live, i, at = live.take(go), i.take(go), at.take(go)
+        start = at - i
+        gone = start + after.take(at)
+        end = after.take(gone)
+        alive[gone] = False
+        ranks[gone] = _NONE
+        after[at] = end
+        before[start + end] = i
+        p = before.take(at)
+        has = np.flatnonzero(p >= 0)
+        judge(
+            np.concatenate([live, live.take(has)]),
+            np.concatenate([i, p.take(has)]),
+            np.concatenate([end, i.take(has)]),
+            np.concatenate([after.take(start + end), end.take(has)]),
+        )
+    row, i = np.nonzero(alive.reshape(n, stride))
+    made = numbers(row, i, after[row * stride + i]).astype(np.int32)
+    ends = np.cumsum(np.bincount(row, minlength=n))
+    data = made.tobytes()
+    out = [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    for k in np.unique(row[made < 0]).tolist():  # characters that are no pieces become their bytes
+        part = slice(ends[k - 1] if k else 0, ends[k])
+        pairs = zip(i[part].tolist(), made[part].tolist())
+        ids = [x for q, m in pairs for x in ([m] if m >= 0 else [vocab.byte_id[b] for b in units[k][q].encode()])]
+        out[k] = np.array(ids, np.int32).tobytes()
+    return out
 
 
 class Encoder:
     """Encodes texts, each occurrence of a unit with draws of its own.
 
-    What is remembered does not depend on the draws: a node is a unit together with the merges skipped so far, and
-    holds the segmentation and the merges that follow if none of them is skipped. An occurrence starts at its unit's
-    node, draws for the node's merges in order, and goes on at the node of the first one that it skips.
+    Only the pieces on the spans of a unit are remembered, which do not depend on the draws; every occurrence is
+    segmented with its draws.
     """
 
     def __init__(self, model: bytes, seed: int, dropout: float):
         self.vocab, self.seed = Vocabulary(model), seed
         self.limit = min(_WORD64, int(dropout * 2.0**64))
         self.units = re.compile(r"\n| *[^ \n]+| +" if self.vocab.splits_at_newline else r" *[^ ]+| +").findall
+        self.pieces: list[bytes] = []
         self.forget()
 
     def forget(self) -> None:
-        self.roots: dict[str, int] = {}
-        self.children: dict[tuple[int, int], int] = {}
-        self.pieces: list[bytes] = []
-        self.steps: list[bytes] = []
-        self.origin: list[tuple[str, tuple[int, ...]]] = []
-
-    def add(self, new: list[tuple[str, tuple[int, ...]]]) -> None:
-        """Nodes for units with the merges they skip, numbered in order."""
-        at = len(self.origin)
-        self.origin += new
-        self.pieces += [b""] * len(new)
-        self.steps += [b""] * len(new)
-        order = sorted(range(len(new)), key=lambda k: len(new[k][0]))
-        for start in range(0, len(order), 4096):
-            part = order[start : start + 4096]
-            pieces, steps = segment_many(self.vocab, [new[k][0] for k in part], [new[k][1] for k in part])
-            for k, made, path in zip(part, pieces, steps):
-                self.pieces[at + k], self.steps[at + k] = made, path
+        import numpy as np
+
+        self.rows = _Rows()
+        self.spans = np.zeros((0, self.vocab.longest + 1), self.vocab.number_of_node.dtype)
+
+    def learn(self) -> None:
+        """Makes the spans of new units."""
+        import numpy as np
+
+        made = self.vocab.spans(self.rows.new)
+        end, self.rows.new = self.rows.used, []
+        if end > len(self.spans):
+            grown = np.empty((2 * end, made.shape[1]), made.dtype)
+            grown[: end - len(made)] = self.spans[: end - len(made)]
+            self.spans = grown
+        self.spans[end - len(made) : end] = made
 
     def nodes(self, units: list[str], keys) -> list[int]:
-        """The node at which each occurrence of a short unit ends."""
+        """Where ``pieces`` holds the segmentation of each occurrence of a short unit, until the next call."""
         import numpy as np
 
-        if new := list(set(units).difference(self.roots)):
-            self.roots.update(zip(new, range(len(self.origin), len(self.origin) + len(new))))
-            self.add([(u, ()) for u in new])
-        node = np.fromiter(map(self.roots.__getitem__, units), np.int64, len(units))
-        live = np.arange(len(units)) if self.limit else np.zeros(0, np.int64)
-        cut = np.uint64(self.limit)
-        while len(live):
-            kinds, kind = np.unique(node[live], return_inverse=True)
-            paths = [self.steps[k] for k in kinds.tolist()]
-            spots = np.frombuffer(b"".join(paths), np.int64)
-            size = np.fromiter((len(p) // 8 for p in paths), np.int64, len(paths))
-            first = np.cumsum(size) - size
-            many = size[kind]
-            base = np.cumsum(many) - many
-            at = np.repeat(first[kind] - base, many) + np.arange(int(many.sum()))
-            drawn = mix_array(np.repeat(keys[live], many) ^ mix_array((spots + 1).astype(np.uint64))[at]) < cut
-            hit = np.flatnonzero(drawn)
-            who = np.searchsorted(base, hit, side="right") - 1
-            who, index = np.unique(who, return_index=True)  # the first skip of each occurrence
-            live, skips = live[who], spots[at[hit[index]]]
-            ways = list(zip(node[live].tolist(), skips.tolist()))
-            if new := list(set(ways).difference(self.children)):
-                self.children.update(zip(new, range(len(self.origin), len(self.origin) + len(new))))
-                self.add([(self.origin[k][0], (*self.origin[k][1], spot)) for k, spot in new])
-            node[live] = np.fromiter(map(self.children.__getitem__, ways), np.int64, len(ways))
+        if not self.limit and len(kinds := list(set(units))) < len(units):  # no draws: equal units are equal
+            place = dict(zip(kinds, self.nodes(kinds, keys[: len(kinds)])))
+            return list(map(place.__getitem__, units))
+        at = np.fromiter(map(self.rows.__getitem__, units), np.int64, len(units))
+        if self.rows.new:
+            self.learn()
+        order = np.argsort(at & 63, kind="stable")
+        at, keys = at[order], keys[order]
+        self.pieces = []
+        for start in range(0, len(order), SIDE_BY_SIDE):
+            part = slice(start, start + SIDE_BY_SIDE)
+            mine = list(map(units.__getitem__, order[part].tolist()))
+            self.pieces += segment_many(self.vocab, mine, keys[part], self.limit, self.spans, at[part] >> 6, at[part] & 63)
+        node = np.empty(len(units), np.int64)
+        node[order] = np.arange(len(units))
         return node.tolist()
 
     def encode(self, texts: list[str | None], salts: list[int]) -> list[bytes]:
@@ -299,8 +379,8 @@ class Encoder:
         import numpy as np
 
         out = []
-        for block in _blocks(texts):
-            if len(self.origin) > REMEMBERED:
+        for block in _blocks([len(t or "") for t in texts]):
+            if len(self.rows) > REMEMBERED:
                 self.forget()
             cut = [self.units(" " + t) if (t := texts[k]) else [] for k in block]
             many = [len(units) for units in cut]
@@ -310,27 +390,29 @@ class Encoder:
             place = np.arange(starts[-1]) - np.repeat(starts[:-1], many)
             keys = mix_array(np.repeat(own, many) + place.astype(np.uint64))
             flat = [u for units in cut for u in units]
-            long = [k for k, u in enumerate(flat) if len(u) > LONG_UNIT]
-            apart = {k: flat[k] for k in long}
-            for k in long:
-                flat[k] = "\n"  # a place holder
-            parts = list(map(self.pieces.__getitem__, self.nodes(flat, keys))) if flat else []
+            apart = {}
+            if max(map(len, flat), default=0) > LONG_UNIT:
+                apart = {k: u for k, u in enumerate(flat) if len(u) > LONG_UNIT}
+                for k in apart:
+                    flat[k] = "\n"  # a place holder
+            made = self.nodes(flat, keys) if flat else []
+            parts = list(map(self.pieces.__getitem__, made))
             for k, unit in apart.items():
                 parts[k] = np.array(segment(self.vocab, unit, int(keys[k]), self.limit), np.int32).tobytes()
             out += [b"".join(parts[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
         return out
 
 
-def _blocks(texts: list[str | None], points: int = 200_000):
+def _blocks(lengths: list[int], points: int = 200_000) -> Iterator[range]:
     """Ranges of texts of about so many code points, so that a block's units fit in memory."""
     start = total = 0
-    for k, t in enumerate(texts):
-        total += len(t or "")
+    for k, n in enumerate(lengths):
+        total += n
         if total >= points:
             yield range(start, k + 1)
             start, total = k + 1, 0
-    if start < len(texts):
-        yield range(start, len(texts))
+    if start < len(lengths):
+        yield range(start, len(lengths))
 
 
 def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
@@ -356,6 +438,24 @@ def _read(model: str) -> bytes:
         return f.read()
 
 
+def _encoded(encoder: Encoder, texts, salts):
+    """Blocks of an Arrow batch: its texts as strings, and their piece numbers."""
+    import pyarrow.compute as pc
+
+    for block in _blocks([n or 0 for n in pc.utf8_length(texts).to_pylist()]):
+        part = texts.slice(block.start, len(block)).to_pylist()
+        yield part, encoder.encode(part, salts.slice(block.start, len(block)).to_pylist())
+
+
+def _lists(made: list[bytes]):
+    """An Arrow list of piece numbers for each text."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.cumsum([0] + [len(m) // 4 for m in made]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), np.int32)))
+
+
 def encode(text: Column, salt: Column, model: str = MODEL, seed: int = 1, dropout: float = 0.1) -> Column:
     """Piece numbers of whole texts as ``array<int>``.
 
@@ -369,13 +469,34 @@ def encode(text: Column, salt: Column, model: str = MODEL, seed: int = 1, dropou
     data = _read(model)
 
     @F.arrow_udf("array<int>")
+    def run(texts, salts):
+        import pyarrow as pa
+
+        blocks = _encoded(_encoder(data, seed, dropout), texts, salts)
+        return pa.concat_arrays([_lists([]), *(_lists(made) for _, made in blocks)])
+
+    # Marked so that the planner runs it once, also where its result is read twice; it is a function of its input.
+    return run.asNondeterministic()(text, F.xxhash64(salt.cast("string"), text))
+
+
+def encode_and_check(text: Column, salt: Column, model: str = MODEL, seed: int = 1, dropout: float = 0.1) -> Column:
+    """Struct of the ``ids`` of ``encode`` and ``lossless``: they decode to the text, null counting as empty.
+
+    One worker does both, so neither the pieces nor the decoded text cross to another one.
+    """
+    data = _read(model)
+
+    @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
     def run(texts, salts):
         import numpy as np
         import pyarrow as pa
 
-        made = _encoder(data, seed, dropout).encode(texts.to_pylist(), salts.to_pylist())
-        ends = np.cumsum([0] + [len(m) // 4 for m in made]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), np.int32)))
+        encoder = _encoder(data, seed, dropout)
+        ids, same = [_lists([])], []
+        for part, made in _encoded(encoder, texts, salts):
+            ids.append(_lists(made))
+            same += [decode_ids(encoder.vocab, np.frombuffer(m, np.int32).tolist()) == (t or "") for t, m in zip(part, made)]
+        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(same, pa.bool_())], ["ids", "lossless"])
 
     # Marked so that the planner runs it once, also where a decoder reads its result; it is a function of its input.
     return run.asNondeterministic()(text, F.xxhash64(salt.cast("string"), text))
@@ -406,10 +527,6 @@ def tokenize(
     Keeps every row and column; repeated rows and null ids are allowed, an empty table gives no rows. Columns of the
     input may have any names but these three.
     """
-    out = docs.withColumn("ids", encode(F.col(text_col), F.col(id_col), model, seed, dropout))
-    return out.withColumns(
-        {
-            "n_pieces": F.size("ids").cast("long"),
-            "lossless": decode(F.col("ids"), model) == F.coalesce(F.col(text_col), F.lit("")),
-        }
-    )
+    out = docs.withColumn("ids", encode_and_check(F.col(text_col), F.col(id_col), model, seed, dropout))
+    ids = F.col("ids")["ids"]
+    return out.withColumns({"n_pieces": F.size(ids).cast("long"), "lossless": F.col("ids")["lossless"], "ids": ids})

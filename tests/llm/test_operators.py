@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 from collections import defaultdict
@@ -282,6 +283,27 @@ def test_every_occurrence_draws_for_itself(monkeypatch, limit):
         assert len({encoder.pieces[k] for k in kinds}) > 50
 
 
+def test_occurrences_cost_no_memory():
+    """What a worker remembers grows with the units, not with the draws of their occurrences."""
+    with open(sentencepiece_bpe.MODEL, "rb") as f:
+        encoder = sentencepiece_bpe.Encoder(f.read(), 7, 0.5)
+    remembered = lambda: len(pickle.dumps({k: v for k, v in vars(encoder).items() if k not in ("vocab", "units", "pieces")}))
+    encoder.encode(["internationalization naïve漢 "], [1])
+    before = remembered()
+    encoder.encode(["internationalization naïve漢 " * 2000], [2])
+    assert remembered() == before and len(set(encoder.pieces)) > 50
+
+
+def test_tokens_are_made_and_checked_by_one_worker(spark):
+    docs = documents(spark).select("doc_id", "text")
+    got = sentencepiece_bpe.tokenize(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    apart = docs.withColumn("ids", sentencepiece_bpe.encode(F.col("text"), F.col("doc_id")))
+    apart = apart.withColumn("back", sentencepiece_bpe.decode(F.col("ids"))).filter("back = coalesce(text, '')")
+    assert sorted(map(repr, apart.select("doc_id", "ids").collect())) == sorted(map(repr, got.select("doc_id", "ids").collect()))
+
+
 def test_vectors(monkeypatch, spark):
     noise = np.random.default_rng(4)
     centre = noise.standard_normal((12, 64))
