@@ -88,6 +88,17 @@ def test_stages_on_clashing_columns(spark):
         assert all(r[n] == i for r in got.collect() for i, n in enumerate(names))
 
 
+def test_stages_send_few_texts_to_python_at_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        for before, after in (("10000", "1000"), ("0", "1000"), ("70", "70")) if name != "line_dedup" else ():
+            spark.conf.set(key, before)
+            stage(spark, docs, SF)
+            assert spark.conf.get(key) == after
+    spark.conf.unset(key)
+
+
 def test_stages_on_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
